@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import remainder, table
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +32,21 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_factor_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .factor_machine import KEEP_AT, fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    got = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= KEEP_AT).cast("int").alias("predicted"))
+
+
+def op7_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zstd_language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs)).select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit() and callable(f)}
 

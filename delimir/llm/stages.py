@@ -9,11 +9,17 @@ from .queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Drop documents whose language is unclear."""
+    from .zstd_language import fit, keep
+
+    return keep(docs, fit(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Drop documents that score below the classifier's threshold."""
+    from .factor_machine import fit, keep
+
+    return keep(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
