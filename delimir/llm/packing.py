@@ -22,48 +22,95 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, written
+from .common import written
 
 SEQUENCE = 4096
 CLASS_WIDTH = 8
 END_ID = 2
 #: Column generation ends when the bound shows that no solution is better by more than this share.
 GAP = 1e-4
-CACHE = 300_000
-_SPACE = re.compile(r"[ \n]+")
+#: Chunks and words a worker remembers.
+CHUNKS, WORDS = 400_000, 400_000
+#: Rows and characters that are encoded together.
+ROWS, CHARS = 4096, 8 << 20
+#: Characters for which Python's classes, lower case and composition agree with the vocabulary's rules.
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
+#: The vocabulary's splitting rule, as its file states it, over these characters.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+").findall
 
 
 class WordCodec:
-    """ids of texts by a ``tokenizers`` file that drops white space: each blank-free chunk is encoded once.
+    """ids of texts by a ``tokenizers`` file that drops white space.
 
-    Chunks are cut at blanks and line feeds only, which the file's splitting rule never crosses.
+    Texts are cut at blanks and line feeds, which the file's splitting rule never crosses, and the
+    distinct chunks of many texts found by Arrow; a new chunk is cut into words by that rule; each
+    new word is encoded once.  Chunks with other than plain characters, or with a special token,
+    are encoded as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.t, self.cache = Tokenizer.from_file(path), {"": b""}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-            cache[""] = b""
-        split = [_SPACE.split(t) for t in texts]
-        new = list({w for s in split for w in s if w not in cache})
-        for w, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[w] = array("I", e.ids).tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        self.t, self.chunks, self.words = Tokenizer.from_file(path), {"": b""}, {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _chunks(self, new: list[str]) -> None:
+        words, odd = self.words, []
+        if len(words) > WORDS:
+            words.clear()
+        split = []
+        for c in new:
+            split.append(_WORDS(c.lower()) if _PLAIN(c) and "<|" not in c else None)
+        fresh = list({w for s in split if s for w in s} - words.keys())
+        words.update(zip(fresh, self._encode(fresh), strict=True))
+        for c, s in zip(new, split, strict=True):
+            if s is None:
+                odd.append(c)
+            else:
+                self.chunks[c] = words[s[0]] if len(s) == 1 else b"".join([words[w] for w in s])
+        self.chunks.update(zip(odd, self._encode(odd), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's start (and the last ends)."""
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat = parts.flatten().dictionary_encode()
+        distinct, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        chunks = self.chunks
+        if len(chunks) > CHUNKS:
+            chunks.clear()
+            chunks[""] = b""
+        self._chunks([c for c in distinct if c not in chunks])
+        found = [chunks[c] for c in distinct]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, at = np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(n)])
+        each = n[index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(at[index] - ends[:-1], each) + np.arange(ends[-1])]
+        offsets = parts.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
 
 
 _CODECS: dict[str, WordCodec] = {}
 
 
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """(first row, rows) of slices of at most ROWS rows and, beyond one row, CHARS bytes."""
+    size = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    out, at = [], 0
+    while at < len(texts):
+        n = max(1, min(ROWS, int(np.searchsorted(size, size[at] + CHARS, side="right")) - 1 - at))
+        out.append((at, n))
+        at += n
+    return out
+
+
 def cut(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, width: int = CLASS_WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, class, part, rank (within part and class).
 
@@ -83,19 +130,19 @@ def cut(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, width: i
         c, part, ranks = _CODECS[tokenizer_path], TaskContext.get().partitionId(), Counter()
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                s = batch.slice(at, SLICE_ROWS)
+            texts = batch.column(1).fill_null("")
+            for at, n_rows in slices(texts):
+                ids, ends = c.encode(texts.slice(at, n_rows))
                 rows = []
-                for i, ids in zip(s.column(0).to_pylist(), c.encode_batch([t or "" for t in s.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+                for i, lo, hi in zip(batch.column(0).slice(at, n_rows).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    n = hi - lo + 1
                     for start in range(0, n, sequence):
                         length = min(sequence, n - start)
                         k = full if length == sequence else -(-length // width)
-                        rows.append((i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, k, part, ranks[k]))
+                        crc = zlib.crc32(ids[lo + start : min(hi, lo + start + length)])
+                        rows.append((i, start, length, zlib.crc32(end, crc) if start + length == n else crc, n, k, part, ranks[k]))
                         ranks[k] += 1
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return docs.select(F.col(id_col).alias("id") if kind == "bigint" else F.col(id_col).cast("string").alias("id"), F.col(text_col)).mapInArrow(run, f"id {'long' if kind == 'bigint' else 'string'}, " + ", ".join(f"{n} long" for n in names))
 
