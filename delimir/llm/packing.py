@@ -15,7 +15,6 @@ Ranks are counted where rows lie: each task numbers its rows by class, and prefi
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -33,60 +32,44 @@ CLASS_WIDTH = 8
 END_ID = 2
 #: Column generation ends when the bound shows that no solution is better by more than this share.
 GAP = 1e-4
-#: Chunks and words a worker remembers.
-CHUNKS, WORDS = 400_000, 400_000
+#: Chunks a worker remembers.
+CHUNKS = 400_000
 #: Rows and characters that are encoded together.
-ROWS, CHARS = 4096, 8 << 20
-#: Characters for which Python's classes, lower case and composition agree with the vocabulary's rules.
-_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+").fullmatch
-#: The vocabulary's splitting rule, as its file states it, over these characters.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+").findall
+ROWS, CHARS = 4096, 3 << 20
+#: A full stop or comma that ends a word is a token of its own under the vocabulary's splitting rule.
+_STOP = r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF])([.,])(\s|$)"
 
 
 class WordCodec:
-    """ids of texts by a ``tokenizers`` file that drops white space.
+    """ids of texts by a ``tokenizers`` file that lower-cases and drops white space.
 
-    Texts are cut at blanks and line feeds, which the file's splitting rule never crosses, and the
-    distinct chunks of many texts found by Arrow; a new chunk is cut into words by that rule; each
-    new word is encoded once.  Chunks with other than plain characters, or with a special token,
-    are encoded as they are.
+    Texts are cut at blanks and line feeds, which the file's splitting rule never crosses.  Arrow
+    finds the distinct chunks of many texts; each new one is encoded once.  So that few are
+    distinct, ASCII letters are lowered and a final stop or comma parted first, neither of which
+    changes an id; texts beside one that may hold a special token stay as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.t, self.chunks, self.words = Tokenizer.from_file(path), {"": b""}, {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _chunks(self, new: list[str]) -> None:
-        words, odd = self.words, []
-        if len(words) > WORDS:
-            words.clear()
-        split = []
-        for c in new:
-            split.append(_WORDS(c.lower()) if _PLAIN(c) and "<|" not in c else None)
-        fresh = list({w for s in split if s for w in s} - words.keys())
-        words.update(zip(fresh, self._encode(fresh), strict=True))
-        for c, s in zip(new, split, strict=True):
-            if s is None:
-                odd.append(c)
-            else:
-                self.chunks[c] = words[s[0]] if len(s) == 1 else b"".join([words[w] for w in s])
-        self.chunks.update(zip(odd, self._encode(odd), strict=True))
+        self.t, self.chunks = Tokenizer.from_file(path), {"": b""}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's start (and the last ends)."""
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        texts = pc.replace_substring(texts, "\n", " ")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(pc.replace_substring_regex(texts, _STOP, r"\1 \2\3"))
+        parts = pc.split_pattern(texts, " ")
         flat = parts.flatten().dictionary_encode()
         distinct, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
         chunks = self.chunks
         if len(chunks) > CHUNKS:
             chunks.clear()
             chunks[""] = b""
-        self._chunks([c for c in distinct if c not in chunks])
+        new = [c for c in distinct if c not in chunks]
+        if new:
+            chunks.update(zip(new, [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(new, add_special_tokens=False)], strict=True))
         found = [chunks[c] for c in distinct]
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, at = np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(n)])
