@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,6 @@ LIMIT = 48
 NEAR = 46
 SAME = 60
 BLOCK = 512
-#: Distinct words whose hashes a worker remembers.
-CACHE = 400_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -58,37 +57,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Shingler:
-    def __init__(self):
-        import xxhash
-
-        self.hash, self.words = xxhash.xxh64_intdigest, {}
-
-    def shingles(self, text: str | None, n: int = N) -> np.ndarray:
-        """Sorted distinct hashes of the n-word shingles of the lower-cased text.
-
-        A text of fewer words has one shingle, all its words; one without words has none.
-        """
-        words = (text or "").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        try:
-            h = [known[w] for w in words]
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w)
-            h = [known[w] for w in words]
-        h = np.array(h, np.uint64)
-        k = min(n, len(h))
-        m = len(h) - k + 1
+def shingle_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
+    """Per text: the sorted distinct hashes of the n-word shingles of the lower-cased text (null: empty).
+
+    A text of fewer words has one shingle, all its words; one without words has none.
+    """
+    import xxhash
+
+    parts = pc.utf8_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    code = parts.flatten().dictionary_encode()
+    words = code.dictionary.to_pylist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    h = hashes[code.indices.to_numpy()]
+    real = np.array([w != "" for w in words], bool)[code.indices.to_numpy()]  # splitting leaves empty ends
+    ends = np.concatenate([[0], np.cumsum(real)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()].tolist()
+    h, out = h[real], []
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        k = min(n, hi - lo)
+        if not k:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        m = hi - lo - k + 1
         total = np.full(m, k, np.uint64)
         for j in range(k):
-            total += h[j : j + m] * _STEP[j]
-        return np.unique(mix(total))
+            total += h[lo + j : lo + j + m] * _STEP[j]
+        out.append(np.unique(mix(total)))
+    return out
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -129,11 +123,10 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                sets = [sh.shingles(t) for t in part.column(1).to_pylist()]
+                sets = shingle_sets(part.column(1))
                 sigs = [signature(s).view(np.int32) for s in sets]
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, T, dtype=np.int32), pa.array(flat))], names=["id", "fp", "n", "sig"])
@@ -307,11 +300,10 @@ def _sets(rows: DataFrame) -> DataFrame:
     """g, nb, fp, copies, set of the rows whose text really has that fp (ids may repeat)."""
 
     def run(batches):
-        sh = Shingler()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 p = batch.slice(at, SLICE_ROWS)
-                fp, sets = p.column(2).to_pylist(), [sh.shingles(t) for t in p.column(4).to_pylist()]
+                fp, sets = p.column(2).to_pylist(), shingle_sets(p.column(4))
                 keep = [k for k, s in enumerate(sets) if fingerprint(s) == fp[k]]
                 t = p.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), t.column(3), pa.array([sets[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], names=["g", "nb", "fp", "copies", "set"])
