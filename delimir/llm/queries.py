@@ -32,6 +32,12 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import join
 
