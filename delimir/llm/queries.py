@@ -32,6 +32,12 @@ def op8_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tag_paths import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest
 
