@@ -15,6 +15,7 @@ Ranks are counted where rows lie: each task numbers its rows by class, and prefi
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -25,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe_tree import byte_letters
 from .common import written
 
 SEQUENCE = 4096
@@ -35,7 +37,8 @@ GAP = 1e-4
 #: Chunks a worker remembers.
 CHUNKS = 400_000
 #: Rows and characters that are encoded together.
-ROWS, CHARS = 4096, 3 << 20
+ROWS, CHARS = 4096, 6 << 20
+_LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 #: A full stop or comma that ends a word is a token of its own under the vocabulary's splitting rule.
 _STOP = r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF])([.,])(\s|$)"
 
@@ -50,10 +53,21 @@ class WordCodec:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.t, self.chunks = Tokenizer.from_file(path), {"": b""}
+        # words of plain letters are one piece of the splitting rule: for them the merges alone do
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), None
+        self.letters = str.maketrans({c: "".join(map(byte_letters().__getitem__, c.encode())) for c in map(chr, range(0xDF, 0x100))})
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        plain = [w if w.isascii() else w.translate(self.letters) for w in new if _LETTERS(w)]
+        odd = [w for w in new if not _LETTERS(w)]
+        one = iter(self.merges.encode_batch_fast(plain, add_special_tokens=False))
+        two = iter(self.t.encode_batch_fast(odd, add_special_tokens=False))
+        return [array("I", next(one if _LETTERS(w) else two).ids).tobytes() for w in new]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's start (and the last ends)."""
@@ -67,15 +81,18 @@ class WordCodec:
         if len(chunks) > CHUNKS:
             chunks.clear()
             chunks[""] = b""
-        new = [c for c in distinct if c not in chunks]
+        found = list(map(chunks.get, distinct))
+        new = [c for c, f in zip(distinct, found, strict=True) if f is None]
         if new:
-            chunks.update(zip(new, [array("I", e.ids).tobytes() for e in self.t.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-        found = [chunks[c] for c in distinct]
-        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        pool, at = np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(n)])
+            chunks.update(zip(new, self._encode(new), strict=True))
+            found = [chunks[c] if f is None else f for c, f in zip(distinct, found, strict=True)]
+        n = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        pool, at = np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         each = n[index]
         ends = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(at[index] - ends[:-1], each) + np.arange(ends[-1])]
+        where = np.repeat(at[index] - ends[:-1].astype(np.int32), each)
+        where += np.arange(len(where), dtype=np.int32)
+        ids = pool[where]
         offsets = parts.offsets.to_numpy()
         return ids, ends[offsets - offsets[0]]
 
