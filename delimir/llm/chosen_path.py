@@ -119,7 +119,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n, sig) of each row."""
+    """(id, fp, n, s, sig) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +129,10 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 sigs = [signature(s).view(np.int32) for s in sets]
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, T, dtype=np.int32), pa.array(flat))], names=["id", "fp", "n", "sig"])
+                bits = _bits(flat.view(np.uint32).reshape(-1, T))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _signed(bits), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, T, dtype=np.int32), pa.array(flat))], names=["id", "fp", "n", "s", "sig"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, f"id {kind}, fp long, n int, sig array<int>")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, f"id {kind}, fp long, n int, s long, sig array<int>")
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -143,13 +144,12 @@ def _first_paths(texts: DataFrame, runs: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 p = b.slice(at, 2048)
-                sig, fp = _sigs(p.column(1)), p.column(0).to_numpy()
-                s = _bits(sig)
+                sig, fp, s = _sigs(p.column(2)), p.column(0).to_numpy(), p.column(1).to_numpy()
                 for r in range(runs):
                     row, path, used = extend(np.full(len(fp), r, np.uint64), np.zeros(len(fp), np.uint64), sig)
-                    yield pa.RecordBatch.from_arrays([_signed(path), pa.array(fp[row]), _signed(s[row]), _signed(used)], names=["b", "fp", "s", "used"])
+                    yield pa.RecordBatch.from_arrays([_signed(path), pa.array(fp[row]), pa.array(s[row]), _signed(used)], names=["b", "fp", "s", "used"])
 
-    return texts.select("fp", "sig").mapInArrow(run, "b long, fp long, s long, used long")
+    return texts.select("fp", "s", "sig").mapInArrow(run, "b long, fp long, s long, used long")
 
 
 def _next_paths(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -195,12 +195,12 @@ def _brute(rows: DataFrame) -> DataFrame:
 
 
 def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
-    """(a, b): texts that may be similar.  ``texts``: fp, sig; each fp once."""
-    ties, rows = None, _first_paths(texts, runs)
+    """(a, b): texts that may be similar.  ``texts``: fp, s, sig; each fp once."""
+    ties, rows, pivots = None, _first_paths(texts, runs), texts.select(F.col("fp").alias("p"), F.col("s").alias("ps"))
     for level in range(1, depth + 1):
-        buckets = rows.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("fp", "s")).alias("pivot")).where("size > 1")
-        met = rows.join(buckets, "b").withColumn("agree", F.lit(T) - F.bit_count(F.col("s").bitwiseXOR(F.col("pivot.s"))))
-        met = written(met.select("b", "fp", "s", "used", "size", "agree", F.col("pivot.fp").alias("p")), "buckets")
+        buckets = rows.groupBy("b").agg(F.count("*").alias("size"), F.min("fp").alias("p")).where("size > 1")
+        met = rows.join(buckets, "b").join(pivots, "p").withColumn("agree", F.lit(T) - F.bit_count(F.col("s").bitwiseXOR(F.col("ps"))))
+        met = written(met.select("b", "fp", "s", "used", "size", "agree", "p"), "buckets")
         tied = met.where(f"fp != p and (agree >= {NEAR}" + (f" or size > {LIMIT}" if level == depth else "") + ")").select(F.col("fp").alias("a"), F.col("p").alias("b"))
         rest = met.where(f"agree < {SAME}")
         new = tied.unionByName(_brute(rest.where(f"size <= {LIMIT}")))
@@ -320,7 +320,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth:
     with one id are documents of their own; a null id comes after all others.
     """
     rows = written(described(docs, id_col, text_col), "described")
-    texts = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "texts")
+    texts = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("sig").alias("sig")), "texts")
     ties = candidate_ties(texts.where("n > 0"), runs, depth)
     groups = components(ties)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
