@@ -142,7 +142,7 @@ def confident_patterns(seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def detect(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), rest: bool = False) -> DataFrame:
-    """``keep`` columns, ``_base`` and ``_more`` (arrays of struct<start, kind number, end>), and with ``rest`` ``_rest``.
+    """``keep`` columns, ``_base`` and ``_more`` (arrays of struct<start, kind number, end>), and with ``rest`` ``_rest`` and ``_gone`` (null text).
 
     Null text counts as empty.  Each row is a document of its own, whatever its id.
     """
@@ -156,7 +156,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     seen = F.concat(*[F.transform(F.col(k), lambda s: F.struct(F.lit(None).cast("int").alias("start"), s["text"].alias("instance"), _context(s["left"]).alias("pattern"))) for k in KINDS])
     # where base spans were given other lengths, places of candidates no longer hold; then only _rest is used
     found = F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["text"].alias("instance"), _context(s["left"]).alias("pattern"), s["end"].alias("end")))
-    df = df.select(F.monotonically_increasing_id().alias("_row"), "_own", F.array_sort(base).alias("_base"), seen.alias("_seen"), found.alias("_cand"), *(["_rest"] if rest else []))
+    df = df.select(F.monotonically_increasing_id().alias("_row"), "_own", F.array_sort(base).alias("_base"), seen.alias("_seen"), found.alias("_cand"), *(["_rest", F.col("_text").isNull().alias("_gone")] if rest else []))
     df = written(df, "spans")
     seeds = df.select(F.explode("_seen").alias("s")).select("s.pattern", "s.instance", F.lit(True).alias("seed"))
     cand = df.where(F.size("_cand") > 0).select("_row", F.explode("_cand").alias("s")).select("_row", "s.*")
@@ -164,7 +164,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     hits = cand.join(good.select("pattern"), "pattern", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("_more"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     out = df.join(hits, "_row", "left").withColumn("_more", F.coalesce("_more", empty))
-    return out.select(*[F.col("_own")[c].alias(c) for c in keep], "_base", "_more", *(["_rest"] if rest else []))
+    return out.select(*[F.col("_own")[c].alias(c) for c in keep], "_base", "_more", *(["_rest", "_gone"] if rest else []))
 
 
 def _joined(spans: Column) -> Column:
@@ -181,7 +181,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in brackets; all other columns as they are."""
-    df = detect(docs, text_col, tuple(docs.columns), rest=True)
+    df = detect(docs, text_col, tuple(c for c in docs.columns if c != text_col), rest=True)
     starts = F.transform("_more", lambda s: s["start"])
 
     def step(acc, x):
@@ -192,4 +192,4 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.array_join(F.transform("_rest", lambda x: F.concat(x["p"], F.coalesce(x["m"], F.lit("")))), "")
     text = F.when(F.size("_more") > 0, F.array_join(F.aggregate("_rest", empty, step)["out"], "")).otherwise(whole)
-    return df.select(*[(F.when(F.col(f"`{c}`").isNull(), F.lit(None)).otherwise(text) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return df.select(*[(F.when(~F.col("_gone"), text) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, written
 from .queries import vocabulary
@@ -23,11 +24,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Keep one document, the first row, of each class of near copies."""
+    from .chosen_path import join
+
+    row = "_row" + "_" * max((len(c) for c in docs.columns), default=0)  # no column of docs
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    first = join(numbered, id_col=row).where("is_first").select(row)
+    return numbered.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Replace personal data by its kind in brackets; ``n_chars`` follows where it is a column."""
+    from .pii import redacted
+
+    got = redacted(docs)
+    return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else got
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
