@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,22 +195,39 @@ def _brute(rows: DataFrame) -> DataFrame:
     return rows.select("b", "fp", "s").repartition("b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
 
 
-def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
-    """(a, b): texts that may be similar.  ``texts``: fp, s, sig; each fp once."""
-    ties, rows, pivots = None, _first_paths(texts, runs), texts.select(F.col("fp").alias("p"), F.col("s").alias("ps"))
+def _bridges(met: DataFrame, easy: DataFrame) -> DataFrame:
+    """In large buckets with few texts far from the pivot: ties of these to the pivot through any text near it, and among them."""
+    few = met.where(f"size > {LIMIT} and agree < {NEAR}").join(easy.where("far > 0").select("b"), "b", "left_semi")
+    lists = few.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("fp", "s"))).alias("few"), F.min("p").alias("p"))  # at most LIMIT each
+    # a bit for each far text that this near one is close to; bits of a bucket are or-ed before they move
+    close = lambda x, i: F.when(F.bit_count(x["s"].bitwiseXOR(F.col("s"))) <= T - NEAR, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    mask = F.aggregate(F.transform("few", close), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    near = met.where(f"size > {LIMIT} and agree >= {NEAR}").select("b", "s").join(lists.select("b", "few"), "b")
+    bits = near.groupBy("b").agg(F.bit_or(mask).alias("bits"))
+    met_few = lists.join(bits, "b").select("p", "bits", F.posexplode("few").alias("i", "x"))
+    bridged = met_few.where(F.call_function("shiftright", F.col("bits"), F.col("i")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return bridged.select(F.col("x.fp").alias("a"), F.col("p").alias("b")).unionByName(_brute(few))
+
+
+def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): texts that may be similar, and what may be unpersisted once that is written.  ``texts``: fp, s, sig; each fp once."""
+    ties, rows, pivots, held = None, _first_paths(texts, runs), texts.select(F.col("fp").alias("p"), F.col("s").alias("ps")), []
     for level in range(1, depth + 1):
         buckets = rows.groupBy("b").agg(F.count("*").alias("size"), F.min("fp").alias("p")).where("size > 1")
         met = rows.join(buckets, "b").join(pivots, "p").withColumn("agree", F.lit(T) - F.bit_count(F.col("s").bitwiseXOR(F.col("ps"))))
-        met = written(met.select("b", "fp", "s", "used", "size", "agree", "p"), "buckets")
-        tied = met.where(f"fp != p and (agree >= {NEAR}" + (f" or size > {LIMIT}" if level == depth else "") + ")").select(F.col("fp").alias("a"), F.col("p").alias("b"))
-        rest = met.where(f"agree < {SAME}")
-        new = tied.unionByName(_brute(rest.where(f"size <= {LIMIT}")))
+        met = met.select("b", "fp", "s", "used", "size", "agree", "p").persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(met)
+        large = met.where(f"size > {LIMIT}").groupBy("b").agg(F.sum((F.col("agree") < NEAR).cast("int")).alias("far"))
+        new = met.where(f"fp != p and agree >= {NEAR}").select(F.col("fp").alias("a"), F.col("p").alias("b"))
+        new = new.unionByName(_brute(met.where(f"size <= {LIMIT} and agree < {SAME}"))).unionByName(_bridges(met, large.where(f"far <= {LIMIT}")))
+        hard = met.where(f"size > {LIMIT} and agree < {SAME}").join(large.where(f"far > {LIMIT}").select("b"), "b", "left_semi")
+        if level == depth:
+            new = new.unionByName(hard.where("fp != p").select(F.col("fp").alias("a"), F.col("p").alias("b")))
         ties = new if ties is None else ties.unionByName(new)
-        big = rest.where(f"size > {LIMIT}")
-        if level == depth or big.isEmpty():
+        if level == depth or hard.isEmpty():
             break
-        rows = _next_paths(big, texts)
-    return ties.distinct()
+        rows = _next_paths(hard, texts)
+    return ties.distinct(), held
 
 
 # -- exact comparison -------------------------------------------------------------------------
@@ -321,13 +339,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth:
     """
     rows = written(described(docs, id_col, text_col), "described")
     texts = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("sig").alias("sig")), "texts")
-    ties = candidate_ties(texts.where("n > 0"), runs, depth)
+    ties, held = candidate_ties(texts.where("n > 0"), runs, depth)
     groups = components(ties)
+    for x in held:
+        x.unpersist()
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "root").join(texts.select(F.col("fp").alias("v"), "copies", "rep"), "v")
     members = written(members.select(F.col("root").alias("g"), F.ceil(F.col("size") / block).cast("int").alias("nb"), F.col("v").alias("fp"), "copies", "rep"), "members")
     whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    sets = _sets(whole.join(members, F.col("id").eqNullSafe(F.col("rep"))))
+    # never broadcast: which texts have partners grows with the input
+    sets = _sets(whole.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))))
     sets = sets.dropDuplicates(["fp"])
     own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     # text of block x goes to the pairs (x, y) and (y, x) of all blocks y
