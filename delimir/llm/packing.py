@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ END_ID = 2
 #: Column generation ends when the bound shows that no solution is better by more than this share.
 GAP = 1e-4
 #: Chunks a worker remembers.
-CHUNKS = 400_000
+CHUNKS = 700_000
 #: Rows and characters that are encoded together.
 ROWS, CHARS = 4096, 6 << 20
 _LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
@@ -56,18 +57,33 @@ class WordCodec:
         from tokenizers import Tokenizer, normalizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.t, self.chunks = Tokenizer.from_file(path), {"": b""}
+        self.t = Tokenizer.from_file(path)
         # words of plain letters are one piece of the splitting rule: for them the merges alone do
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), None
         self.letters = str.maketrans({c: "".join(map(byte_letters().__getitem__, c.encode())) for c in map(chr, range(0xDF, 0x100))})
-
-    def _encode(self, new: list[str]) -> list[bytes]:
-        plain = [w if w.isascii() else w.translate(self.letters) for w in new if _LETTERS(w)]
-        odd = [w for w in new if not _LETTERS(w)]
-        one = iter(self.merges.encode_batch_fast(plain, add_special_tokens=False))
-        two = iter(self.t.encode_batch_fast(odd, add_special_tokens=False))
-        return [array("I", next(one if _LETTERS(w) else two).ids).tobytes() for w in new]
+        self.forget()
+
+    def forget(self) -> None:
+        """Chunks known so far: their number, and where the ids of each lie in one pool."""
+        self.chunks: dict[str, int] = {}
+        self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        plain, odd = [], []
+        for w in new:
+            if w.isalpha() and _LETTERS(w):
+                plain.append(w)
+            else:
+                odd.append(w)
+        mapped = [w if w.isascii() else w.translate(self.letters) for w in plain]
+        ids = [e.ids for e in self.merges.encode_batch_fast(mapped, add_special_tokens=False)]
+        ids += [e.ids for e in self.t.encode_batch_fast(odd, add_special_tokens=False)]
+        n = len(self.chunks)
+        self.chunks.update(zip(chain(plain, odd), range(n, n + len(new))))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's start (and the last ends)."""
@@ -77,24 +93,21 @@ class WordCodec:
         parts = pc.split_pattern(texts, " ")
         flat = parts.flatten().dictionary_encode()
         distinct, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-        chunks = self.chunks
-        if len(chunks) > CHUNKS:
-            chunks.clear()
-            chunks[""] = b""
-        found = list(map(chunks.get, distinct))
-        new = [c for c, f in zip(distinct, found, strict=True) if f is None]
+        if len(self.chunks) > CHUNKS:
+            self.forget()
+        get = self.chunks.get
+        code = np.array(list(map(get, distinct, repeat(-1))), np.int64)
+        new = [distinct[i] for i in np.flatnonzero(code < 0).tolist()]
         if new:
-            chunks.update(zip(new, self._encode(new), strict=True))
-            found = [chunks[c] if f is None else f for c, f in zip(distinct, found, strict=True)]
-        n = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        pool, at = np.frombuffer(b"".join(found), np.uint32), np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        each = n[index]
+            self.learn(new)
+            code[code < 0] = list(map(self.chunks.__getitem__, new))
+        at, size = self.ends[code].astype(np.int32), (self.ends[code + 1] - self.ends[code]).astype(np.int32)
+        each = size[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         where = np.repeat(at[index] - ends[:-1].astype(np.int32), each)
         where += np.arange(len(where), dtype=np.int32)
-        ids = pool[where]
         offsets = parts.offsets.to_numpy()
-        return ids, ends[offsets - offsets[0]]
+        return self.pool[where], ends[offsets - offsets[0]]
 
 
 _CODECS: dict[str, WordCodec] = {}
