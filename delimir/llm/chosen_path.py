@@ -209,25 +209,27 @@ def _bridges(met: DataFrame, easy: DataFrame) -> DataFrame:
     return bridged.select(F.col("x.fp").alias("a"), F.col("p").alias("b")).unionByName(_brute(few))
 
 
-def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b): texts that may be similar, and what may be unpersisted once that is written.  ``texts``: fp, s, sig; each fp once."""
-    ties, rows, pivots, held = None, _first_paths(texts, runs), texts.select(F.col("fp").alias("p"), F.col("s").alias("ps")), []
+def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
+    """(a, b): texts that may be similar.  ``texts``: fp, s, sig; each fp once.  Each level is written, which keeps plans small."""
+    ties, rows, pivots = None, _first_paths(texts, runs), texts.select(F.col("fp").alias("p"), F.col("s").alias("ps"))
     for level in range(1, depth + 1):
         buckets = rows.groupBy("b").agg(F.count("*").alias("size"), F.min("fp").alias("p")).where("size > 1")
         met = rows.join(buckets, "b").join(pivots, "p").withColumn("agree", F.lit(T) - F.bit_count(F.col("s").bitwiseXOR(F.col("ps"))))
         met = met.select("b", "fp", "s", "used", "size", "agree", "p").persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(met)
         large = met.where(f"size > {LIMIT}").groupBy("b").agg(F.sum((F.col("agree") < NEAR).cast("int")).alias("far"))
         new = met.where(f"fp != p and agree >= {NEAR}").select(F.col("fp").alias("a"), F.col("p").alias("b"))
         new = new.unionByName(_brute(met.where(f"size <= {LIMIT} and agree < {SAME}"))).unionByName(_bridges(met, large.where(f"far <= {LIMIT}")))
         hard = met.where(f"size > {LIMIT} and agree < {SAME}").join(large.where(f"far > {LIMIT}").select("b"), "b", "left_semi")
         if level == depth:
             new = new.unionByName(hard.where("fp != p").select(F.col("fp").alias("a"), F.col("p").alias("b")))
+        new = written(new.distinct(), "ties")
         ties = new if ties is None else ties.unionByName(new)
+        hard = written(hard, "hard") if level < depth else hard.limit(0)
+        met.unpersist()
         if level == depth or hard.isEmpty():
             break
         rows = _next_paths(hard, texts)
-    return ties.distinct(), held
+    return ties
 
 
 # -- exact comparison -------------------------------------------------------------------------
@@ -339,10 +341,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth:
     """
     rows = written(described(docs, id_col, text_col), "described")
     texts = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("sig").alias("sig")), "texts")
-    ties, held = candidate_ties(texts.where("n > 0"), runs, depth)
-    groups = components(ties)
-    for x in held:
-        x.unpersist()
+    groups = components(candidate_ties(texts.where("n > 0"), runs, depth))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "root").join(texts.select(F.col("fp").alias("v"), "copies", "rep"), "v")
     members = written(members.select(F.col("root").alias("g"), F.ceil(F.col("size") / block).cast("int").alias("nb"), F.col("v").alias("fp"), "copies", "rep"), "members")
