@@ -102,9 +102,12 @@ class _Writer:
                 self.put("\\" + c)
                 atom = True
             elif c == "$":
-                self.put("$" if "m" in self.flags else r"\z")
+                self.put(r"(?![^\n])" if "m" in self.flags else r"\z")
                 atom = False
-            elif c == "|" or c == "^":
+            elif c == "^":
+                self.put(r"(?<![^\n])" if "m" in self.flags else "^")  # Java's own never matches at the very end
+                atom = False
+            elif c == "|":
                 self.put(c)
                 atom = False
             else:

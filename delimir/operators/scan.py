@@ -180,8 +180,6 @@ def parse_column(df: DataFrame, content: str, delimiter: str = ",", encoding: st
 
 
 def check_width(df: DataFrame, n: int) -> DataFrame:
-    """Fail where a record has not n fields."""
-    bad = F.raise_error(F.lit("fixed row column count mismatch"))
-    return df.withColumn("fields", F.when(F.size("fields") == n, F.col("fields")).otherwise(bad))
-
-
+    """Fail where a record has not n fields.  A filter, so that counts check it too."""
+    bad = F.raise_error(F.lit("fixed row column count mismatch")).cast("boolean")
+    return df.where(F.when(F.size("fields") == n, F.lit(True)).otherwise(bad))

@@ -538,12 +538,12 @@ def join_after_scan(spark, sf_dir):
 @query("SELECT count(*) AS n FROM customer")
 def stream_files(spark, sf_dir):
     """Files taken as a stream, until none is left."""
-    from .streaming.follow import follow
+    from .streaming.follow import follow_lines
 
     out = fresh(spark, "stream")
-    df = follow(spark, customer(spark, sf_dir))
+    df = follow_lines(spark, customer(spark, sf_dir))
     df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("_file string, _shard long, _pos long, fields array<string>").parquet(f"{out}/rows").agg(F.count("*").alias("n"))
+    return spark.read.schema("_file string, fields array<string>").parquet(f"{out}/rows").agg(F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

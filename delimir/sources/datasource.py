@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
 from ..functions.filters import from_json, to_predicate
 from ..plans.limits import DEFAULT_CHUNK
@@ -122,27 +122,27 @@ class Reader(DataSourceReader):
         c.finish()
 
 
-class StreamReader(SimpleDataSourceStreamReader):
-    """New files of a folder as they come; a file counts once, by name and in name order."""
+class StreamReader(DataSourceStreamReader):
+    """Files of a folder as they come, in name order: each batch takes those after the last one's name, a task each."""
 
     def __init__(self, options: dict):
-        self.o = options
+        self.o, self.inner = options, Reader(options)
 
     def initialOffset(self) -> dict:  # noqa: N802  Spark's names
         return {"after": ""}
 
-    def _rows(self, path: str):
-        o = self.o
-        c = compression_from(o)
-        for i, r in enumerate(grammar.records(codecs.open_chunks(path, c), resolve_delimiter(path, o.get("delimiter", ","), c), o.get("encoding", "utf8"))):
-            yield (path, 0, i, r)
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"after": max(files_of(self.o["path"]), default="")}
+
+    def partitions(self, start: dict, end: dict) -> list[Shard]:
+        c = self.inner.compression
+        return [Shard(p, 0, None, resolve_delimiter(p, self.o.get("delimiter", ","), c)) for p in files_of(self.o["path"]) if start["after"] < p <= end["after"]]
 
-    def read(self, start: dict):
-        new = [p for p in files_of(self.o["path"]) if p > start["after"]][: int(self.o.get("maxfilespertrigger", 16))]
-        return (r for p in new for r in self._rows(p)), {"after": new[-1] if new else start["after"]}
+    def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
+        return self.inner.read(partition)
 
-    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
-        return (r for p in files_of(self.o["path"]) if start["after"] < p <= end["after"] for r in self._rows(p))
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class DelimitedSource(DataSource):
@@ -156,7 +156,7 @@ class DelimitedSource(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> StreamReader:  # noqa: N802
+    def streamReader(self, schema) -> StreamReader:  # noqa: N802
         return StreamReader(dict(self.options))
 
 

@@ -9,11 +9,11 @@ from ..plans.options import Options, options
 from ..sources import datasource
 
 
-def follow(spark: SparkSession, folder: str, given: Options | None = None, /, max_files: int = 16, **more) -> DataFrame:
-    """A streaming DataFrame (_file, _shard, _pos, fields).  Files are taken in name order, each once; use with a checkpoint."""
+def follow(spark: SparkSession, folder: str, given: Options | None = None, /, **more) -> DataFrame:
+    """A streaming DataFrame (_file, _shard, _pos, fields).  Files are taken in name order, so names must grow."""
     o = options(given, **more)
     datasource.register(spark)
-    r = spark.readStream.format("delimited").option("path", folder).option("delimiter", o.delimiter).option("encoding", o.encoding).option("maxfilespertrigger", str(max_files))
+    r = spark.readStream.format("delimited").option("path", folder).option("delimiter", o.delimiter).option("encoding", o.encoding)
     if isinstance(o.compression, str):
         r = r.option("compression", o.compression)
     return project(keep(r.load(), o.where), o.columns)
@@ -24,5 +24,6 @@ def follow_lines(spark: SparkSession, folder: str, delimiter: str = ",", where=N
     from pyspark.sql import functions as F
 
     o = options(delimiter=delimiter, where=where, columns=columns)
-    df = spark.readStream.text(folder).select(F.col("_metadata.file_path").alias("_file"), F.split("value", r"\Q" + delimiter + r"\E", -1).alias("fields"))
+    df = spark.readStream.text(folder)
+    df = df.select(F.col("_metadata.file_path").alias("_file"), F.split("value", r"\Q" + delimiter + r"\E", -1).alias("fields"))
     return project(keep(df, o.where), o.columns)
