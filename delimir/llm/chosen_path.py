@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, written
@@ -37,8 +37,10 @@ THRESHOLD = 0.8
 T = 64
 RATE = 2.0
 RUNS = 12
-DEPTH = 4
+DEPTH = 3
 LIMIT = 48
+#: Texts far from the pivot that a large bucket may hold and still be settled at once.
+FAR = 240
 #: Of 64 one-bit entries: a pair of similarity 0.8 agrees in 57.6 on average, 2.4 the deviation.
 NEAR = 46
 SAME = 60
@@ -165,8 +167,8 @@ def _next_paths(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.join(texts.select("fp", "sig"), "fp").select("b", "fp", "s", "used", "sig").mapInArrow(run, "b long, fp long, s long, used long")
 
 
-def _brute(rows: DataFrame) -> DataFrame:
-    """Ties within buckets of at most LIMIT texts: rows sorted by bucket are compared with the next ones."""
+def _brute(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Ties within buckets of at most ``limit`` texts: rows sorted by bucket are compared with the next ones."""
 
     def run(batches):
         left = None
@@ -182,7 +184,7 @@ def _brute(rows: DataFrame) -> DataFrame:
             yield from pairs(*left)
 
     def pairs(b, fp, s):
-        for d in range(1, LIMIT):
+        for d in range(1, limit):
             if len(b) <= d:
                 return
             at = np.flatnonzero(b[d:] == b[:-d])
@@ -198,28 +200,34 @@ def _brute(rows: DataFrame) -> DataFrame:
 def _bridges(met: DataFrame, easy: DataFrame) -> DataFrame:
     """In large buckets with few texts far from the pivot: ties of these to the pivot through any text near it, and among them."""
     few = met.where(f"size > {LIMIT} and agree < {NEAR}").join(easy.where("far > 0").select("b"), "b", "left_semi")
-    lists = few.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("fp", "s"))).alias("few"), F.min("p").alias("p"))  # at most LIMIT each
+    lists = few.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("fp", "s"))).alias("few"), F.min("p").alias("p"))  # at most FAR each
     # a bit for each far text that this near one is close to; bits of a bucket are or-ed before they move
-    close = lambda x, i: F.when(F.bit_count(x["s"].bitwiseXOR(F.col("s"))) <= T - NEAR, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    mask = F.aggregate(F.transform("few", close), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def mask(k: int) -> Column:
+        bit = lambda x, i: F.when(F.bit_count(x["s"].bitwiseXOR(F.col("s"))) <= T - NEAR, F.call_function("shiftleft", one, i)).otherwise(zero)
+        return F.aggregate(F.transform(F.slice("few", 1 + 60 * k, 60), bit), zero, lambda a, x: a.bitwiseOR(x))
+
     near = met.where(f"size > {LIMIT} and agree >= {NEAR}").select("b", "s").join(lists.select("b", "few"), "b")
-    bits = near.groupBy("b").agg(F.bit_or(mask).alias("bits"))
-    met_few = lists.join(bits, "b").select("p", "bits", F.posexplode("few").alias("i", "x"))
-    bridged = met_few.where(F.call_function("shiftright", F.col("bits"), F.col("i")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    return bridged.select(F.col("x.fp").alias("a"), F.col("p").alias("b")).unionByName(_brute(few))
+    words = range(-(-FAR // 60))
+    bits = near.groupBy("b").agg(*[F.bit_or(mask(k)).alias(f"m{k}") for k in words])
+    met_few = lists.join(bits, "b").select("p", F.array(*[f"m{k}" for k in words]).alias("bits"), F.posexplode("few").alias("i", "x"))
+    word = F.get("bits", (F.col("i") / 60).cast("int"))
+    bridged = met_few.where(F.call_function("shiftright", word, F.col("i") % 60).bitwiseAND(one) == 1)
+    return bridged.select(F.col("x.fp").alias("a"), F.col("p").alias("b")).unionByName(_brute(few, FAR))
 
 
 def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
     """(a, b): texts that may be similar.  ``texts``: fp, s, sig; each fp once.  Each level is written, which keeps plans small."""
-    ties, rows, pivots = None, _first_paths(texts, runs), texts.select(F.col("fp").alias("p"), F.col("s").alias("ps"))
+    ties, rows = None, _first_paths(texts, runs)
     for level in range(1, depth + 1):
-        buckets = rows.groupBy("b").agg(F.count("*").alias("size"), F.min("fp").alias("p")).where("size > 1")
-        met = rows.join(buckets, "b").join(pivots, "p").withColumn("agree", F.lit(T) - F.bit_count(F.col("s").bitwiseXOR(F.col("ps"))))
-        met = met.select("b", "fp", "s", "used", "size", "agree", "p").persist(StorageLevel.MEMORY_AND_DISK)
+        buckets = rows.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("fp", "s")).alias("pivot")).where("size > 1")
+        met = rows.join(buckets, "b").withColumn("agree", F.lit(T) - F.bit_count(F.col("s").bitwiseXOR(F.col("pivot.s"))))
+        met = met.select("b", "fp", "s", "used", "size", "agree", F.col("pivot.fp").alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
         large = met.where(f"size > {LIMIT}").groupBy("b").agg(F.sum((F.col("agree") < NEAR).cast("int")).alias("far"))
         new = met.where(f"fp != p and agree >= {NEAR}").select(F.col("fp").alias("a"), F.col("p").alias("b"))
-        new = new.unionByName(_brute(met.where(f"size <= {LIMIT} and agree < {SAME}"))).unionByName(_bridges(met, large.where(f"far <= {LIMIT}")))
-        hard = met.where(f"size > {LIMIT} and agree < {SAME}").join(large.where(f"far > {LIMIT}").select("b"), "b", "left_semi")
+        new = new.unionByName(_brute(met.where(f"size <= {LIMIT} and agree < {SAME}"))).unionByName(_bridges(met, large.where(f"far <= {FAR}")))
+        hard = met.where(f"size > {LIMIT} and agree < {SAME}").join(large.where(f"far > {FAR}").select("b"), "b", "left_semi")
         if level == depth:
             new = new.unionByName(hard.where("fp != p").select(F.col("fp").alias("a"), F.col("p").alias("b")))
         new = written(new.distinct(), "ties")
