@@ -142,7 +142,7 @@ def confident_patterns(seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def detect(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), rest: bool = False) -> DataFrame:
-    """``keep`` columns, ``_base`` and ``_more`` (arrays of struct<start, kind number, end>), and with ``rest`` ``_rest`` and ``_gone`` (null text).
+    """``_own`` (a struct of the ``keep`` columns), ``_base`` and ``_more`` (arrays of struct<start, kind number, end>), and with ``rest`` ``_rest`` and ``_gone`` (null text).
 
     Null text counts as empty.  Each row is a document of its own, whatever its id.
     """
@@ -164,7 +164,7 @@ def detect(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     hits = cand.join(good.select("pattern"), "pattern", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("_more"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     out = df.join(hits, "_row", "left").withColumn("_more", F.coalesce("_more", empty))
-    return out.select(*[F.col("_own")[c].alias(c) for c in keep], "_base", "_more", *(["_rest", "_gone"] if rest else []))
+    return out.select("_own", "_base", "_more", *(["_rest", "_gone"] if rest else []))
 
 
 def _joined(spans: Column) -> Column:
@@ -176,7 +176,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """Per document: counts of base spans, the hash of their list, and all spans."""
     df = detect(docs)
     counts = [F.size(F.filter("_base", _of(n))).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS)]
-    return df.select("doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("_base", "_more"))).alias("spans"))
+    return df.select("_own.doc_id", *counts, F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("_base", "_more"))).alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -192,4 +192,4 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.array_join(F.transform("_rest", lambda x: F.concat(x["p"], F.coalesce(x["m"], F.lit("")))), "")
     text = F.when(F.size("_more") > 0, F.array_join(F.aggregate("_rest", empty, step)["out"], "")).otherwise(whole)
-    return df.select(*[(F.when(~F.col("_gone"), text) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return df.select(*[(F.when(~F.col("_gone"), text) if c == text_col else F.col("_own")[c]).alias(c) for c in docs.columns])
