@@ -234,9 +234,11 @@ def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> Da
         ties = new if ties is None else ties.unionByName(new)
         hard = written(hard, "hard") if level < depth else hard.limit(0)
         met.unpersist()
+        if level > 1:
+            rows.unpersist()
         if level == depth or hard.isEmpty():
             break
-        rows = _next_paths(hard, texts)
+        rows = _next_paths(hard, texts).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
     return ties
 
 
