@@ -14,6 +14,7 @@ Ranks are counted where rows lie: each task numbers its rows by class, and prefi
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -36,7 +37,7 @@ END_ID = 2
 #: Column generation ends when the bound shows that no solution is better by more than this share.
 GAP = 1e-4
 #: Chunks a worker remembers.
-CHUNKS = 700_000
+CHUNKS = 900_000
 #: Rows and characters that are encoded together.
 ROWS, CHARS = 4096, 6 << 20
 _LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
@@ -62,17 +63,22 @@ class WordCodec:
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), None
         self.letters = str.maketrans({c: "".join(map(byte_letters().__getitem__, c.encode())) for c in map(chr, range(0xDF, 0x100))})
-        self.forget()
-
-    def forget(self) -> None:
-        """Chunks known so far: their number, and where the ids of each lie in one pool."""
+        # chunks known so far: their number, and where the ids of each lie in one pool
         self.chunks: dict[str, int] = {}
         self.pool, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def forget(self, kept: list[str]) -> None:
+        """Forget all chunks but some known ones."""
+        code = np.array([self.chunks[c] for c in kept], np.int64)
+        at, size = self.ends[code], self.ends[code + 1] - self.ends[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        self.pool = self.pool[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
+        self.chunks, self.ends = dict(zip(kept, range(len(kept)), strict=True)), ends
+
     def learn(self, new: list[str]) -> None:
         plain, odd = [], []
         for w in new:
-            if w.isalpha() and _LETTERS(w):
+            if _LETTERS(w):
                 plain.append(w)
             else:
                 odd.append(w)
@@ -93,21 +99,25 @@ class WordCodec:
         parts = pc.split_pattern(texts, " ")
         flat = parts.flatten().dictionary_encode()
         distinct, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-        if len(self.chunks) > CHUNKS:
-            self.forget()
         get = self.chunks.get
         code = np.array(list(map(get, distinct, repeat(-1))), np.int64)
         new = [distinct[i] for i in np.flatnonzero(code < 0).tolist()]
         if new:
-            self.learn(new)
+            gc.disable()  # very many short lists, none in a cycle
+            try:
+                self.learn(new)
+            finally:
+                gc.enable()
             code[code < 0] = list(map(self.chunks.__getitem__, new))
         at, size = self.ends[code].astype(np.int32), (self.ends[code + 1] - self.ends[code]).astype(np.int32)
         each = size[index]
         ends = np.concatenate([[0], np.cumsum(each)])
         where = np.repeat(at[index] - ends[:-1].astype(np.int32), each)
         where += np.arange(len(where), dtype=np.int32)
-        offsets = parts.offsets.to_numpy()
-        return self.pool[where], ends[offsets - offsets[0]]
+        offsets, ids = parts.offsets.to_numpy(), self.pool[where]
+        if len(self.chunks) > CHUNKS:
+            self.forget(distinct)
+        return ids, ends[offsets - offsets[0]]
 
 
 _CODECS: dict[str, WordCodec] = {}
