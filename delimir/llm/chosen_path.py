@@ -354,7 +354,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth:
     groups = components(candidate_ties(texts.where("n > 0"), runs, depth))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "root").join(texts.select(F.col("fp").alias("v"), "copies", "rep"), "v")
-    members = written(members.select(F.col("root").alias("g"), F.ceil(F.col("size") / block).cast("int").alias("nb"), F.col("v").alias("fp"), "copies", "rep"), "members")
+    members = members.select(F.col("root").alias("g"), F.ceil(F.col("size") / block).cast("int").alias("nb"), F.col("v").alias("fp"), "copies", "rep")
     whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
     # never broadcast: which texts have partners grows with the input
     sets = _sets(whole.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,10 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
 
     Repeated edges do no harm; an empty table gives an empty result.
     """
-    now = written(edges.where("a != b").distinct(), "edges")
-    tasks = -(-now.count() // task_edges)
-    now = written(now.repartition(max(1, tasks)).mapInArrow(_local, "a long, b long").where("a != b"), "edges")
+    own = edges.where("a != b").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = -(-own.count() // task_edges)
+    now = written(own.repartition(max(1, tasks)).mapInArrow(_local, "a long, b long").where("a != b"), "edges")
+    own.unpersist()
     before = None
     while tasks > 1:
         now = written(_small(_large(now)), "edges")
