@@ -194,6 +194,30 @@ def trusted_newline_rows(data: bytes) -> int:
     return data.count(b"\n") + (bool(data) and data[-1:] not in (b"\n", b"\r"))
 
 
+def record_count(chunks: Iterable[bytes], delimiter: str) -> int:
+    """How many records; chunks without quotes are only searched for line ends."""
+    n, p, filled, after_cr, field_start = 0, None, False, False, True
+    d = delimiter.encode()
+    for c in chunks:
+        if p is None and b'"' not in c:
+            if after_cr and c[:1] == b"\n":
+                c = c[1:]
+            if c:
+                n += c.count(b"\n") + c.count(b"\r") - c.count(b"\r\n")
+                last = c[-1:]
+                filled, after_cr, field_start = last not in b"\r\n", last == b"\r", last in b"\r\n" + d
+            else:
+                after_cr = False
+            continue
+        if p is None:
+            p = ChunkParser(delimiter, "latin1")
+            p.begun, p.after_cr, p.state = filled, after_cr, "start" if field_start else "plain"
+        n += len(p.write(c))
+        if p.state == "start" and not p.begun:
+            filled, after_cr, field_start, p = False, p.after_cr, True, None
+    return n + (len(p.end()) if p else filled)
+
+
 class HeaderCheck:
     """Expected headers and least number of data rows, record by record."""
 

@@ -102,6 +102,13 @@ def test_round_trip(rows, delimiter, chunk):
     assert [r for i in range(0, len(data), chunk) for r in p.write(data[i : i + chunk])] + p.end() == rows
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet='ab,"\n\r', max_size=30), st.integers(1, 6))
+def test_record_count(text, chunk):
+    data = text.encode()
+    assert grammar.record_count([data[i : i + chunk] for i in range(0, len(data), chunk)], ",") == len(parse(data))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet='ab,"\n\r', min_size=1, max_size=40), st.integers(1, 8))
 def test_shards_hold_whole_records(tmp_path_factory, text, n):
