@@ -29,8 +29,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar sidebars widget widgets footer masthead topbar comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter subscribe "
-    "subscription signup login search pagination pager toolbar skiplink".split()
+    "subscription signup login search pagination pager toolbar skiplink alert toast copyright colophon".split()
 )
+# Beside these words ``header`` names the head of an article.
+ARTICLE = frozenset("article post entry content story".split())
 CONTAINERS = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
@@ -75,14 +77,14 @@ class _Page:
 
     def flush(self) -> None:
         if self.parts:
-            text = _SPACE.sub(" ", entities.unescape("".join(self.parts))).strip()
+            text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
                 self.blocks.append((self.path(), text, self.linked))
         self.parts, self.linked = [], 0
 
     def text(self, piece: str) -> None:
         if piece and not self.hidden:
-            self.parts.append(piece)
+            self.parts.append(entities.unescape(piece) if "&" in piece else piece)
             if self.open.get("a"):
                 self.linked += len(piece.strip())
 
@@ -119,7 +121,7 @@ class _Page:
         banned = name in NEVER or got.get("role") in ROLES
         if name == "header" and self.container[here] < 0:
             banned = True
-        if name not in CONTAINERS and name not in ("html", "body") and words & MARKS:
+        if name not in CONTAINERS and name not in ("html", "body") and (words & MARKS or "header" in words and self.container[here] < 0 and not words & ARTICLE and name not in HEADINGS):
             banned = True
         first = got.get("class", "").split(None, 1)
         return ("." + first[0] if first else ""), hides, banned

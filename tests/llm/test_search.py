@@ -66,6 +66,10 @@ def test_page_without_containers():
     assert blocks_of("<div id=a><h2>Title</h2><p>Prose, with commas. And more.<p>Second part, too.</div><div class=sidebar><p>Buy, now, buy.</p></div>") == ["Title", "Prose, with commas. And more.", "Second part, too."]
 
 
+def test_headers_and_references():
+    assert blocks_of('<div class="header"><p>Site, slogan, and more.</p></div><div class="post"><div class="post-header"><h1>A&amp;B &am<b>p;</b></h1></div><p>Text, long enough. Really, it is.</p></div>') == ["A&B &amp;", "Text, long enough. Really, it is."]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "plain & text", "<p", "<a '" * 3000, "<div>" * 3000 + "x", "<b><p>" * 3000, "<script>", "<!--", "</p>" * 3000, "<p>" + "word " * 200000])
 def test_damaged_pages(page):
     assert isinstance(blocks_of(page), list)
