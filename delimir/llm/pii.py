@@ -163,7 +163,9 @@ def detect(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     good = confident_patterns(seeds.unionByName(cand.select("pattern", "instance", F.lit(False).alias("seed"))))
     hits = cand.join(good.select("pattern"), "pattern", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("_more"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    out = df.join(hits, "_row", "left").withColumn("_more", F.coalesce("_more", empty))
+    # rows without a candidate need no join, so their texts don't move
+    some = df.where(F.size("_cand") > 0).join(hits, "_row", "left").withColumn("_more", F.coalesce("_more", empty))
+    out = df.where(F.size("_cand") == 0).withColumn("_more", empty).unionByName(some)
     return out.select("_own", "_base", "_more", *(["_rest", "_gone"] if rest else []))
 
 
