@@ -259,16 +259,20 @@ def by_shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.repartition(shards, "shard").sortWithinPartitions("shard")
 
 
-def each_shard(batches: Iterator[pa.RecordBatch], of: Callable[[pa.RecordBatch], list]) -> Iterator[tuple[int, list]]:
-    """Rows of sorted batches by shard; ``of`` gives a batch's rows as items."""
+def each_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows of batches sorted by their first column, the shard: a shard's rows as slices of batches."""
     now, held = None, []
     for b in batches:
-        for s, x in zip(b.column(0).to_pylist(), of(b), strict=True):
-            if s != now:
+        shard = b.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if lo == hi:
+                continue
+            if int(shard[lo]) != now:
                 if held:
                     yield now, held
-                now, held = s, []
-            held.append(x)
+                now, held = int(shard[lo]), []
+            held.append(b.slice(lo, hi - lo))
     if held:
         yield now, held
 
@@ -328,8 +332,8 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
             yield pa.RecordBatch.from_arrays([pa.array(word_shard(w, ws)), b.column(0), b.column(1)], names=["shard", "w", "c"])
 
     def store_words(batches):
-        for s, rows in each_shard(batches, lambda b: list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))):
-            w, c = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.uint64)
+        for s, rows in each_shard(batches):
+            w, c = (np.concatenate([b.column(i).to_numpy() for b in rows]).view(np.uint64) for i in (1, 2))
             order = np.argsort(w)
             save(f"{path}/w-{s}", w[order])
             save(f"{path}/c-{s}", c[order])
@@ -367,8 +371,8 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
 
     # a shard's pairs are stored; its sums by first and by second word go on, by the word's shard
     def store_pairs(batches):
-        for s, blobs in each_shard(batches, lambda b: b.column(1).to_pylist()):
-            key, n = summed([expand(x) for x in blobs])
+        for s, rows in each_shard(batches):
+            key, n = summed([expand(x.as_py()) for b in rows for x in b.column(1)])
             save(f"{path}/p-{s}", key)
             save(f"{path}/n-{s}", n.astype("u4"))
             t = [int((n == k).sum()) for k in (1, 2, 3, 4)]
@@ -384,11 +388,12 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
 
     def store_stats(batches):
         t = np.zeros(4, np.int64)
-        for s, rows in each_shard(batches, lambda b: list(zip(*[b.column(i).to_pylist() for i in range(1, 7)], strict=True))):
+        for s, rows in each_shard(batches):
             out = {k: np.zeros(sizes[s], np.uint32) for k in ("a", "f1", "f2", "f3")}
-            for kind, blob, *ts in rows:
-                t += ts
-                cols = expand(blob)
+            for kind, blob, *ts in (r for b in rows for r in zip(*(b.column(i) for i in range(1, 7)), strict=True)):
+                kind = kind.as_py()
+                t += [x.as_py() for x in ts]
+                cols = expand(blob.as_py())
                 at = cols[0].astype(np.int64) - bases[s]
                 for k, v in zip(("f1", "f2", "f3") if kind == 0 else ("a",), cols[1:], strict=True):
                     out[k][at] += v.astype(np.uint32)
