@@ -18,7 +18,11 @@ from ..plans.options import Options
 from ..sources import datasource
 from ..sources.codecs import Zip
 from ..sources.grammar import encoding_of
+from ..sources.sharding import parallel_split_offsets
+from ..sources.storage import files_of, local_path, size_of
 
+#: Plain files beyond this are split by a Spark job rather than by one pass on the driver.
+SPLIT_BY_JOB = 1 << 30
 COLUMNS = ("_file", "_shard", "_pos", "fields")
 
 
@@ -62,6 +66,9 @@ def source(spark: SparkSession, path: str, o: Options, needed: list[int] | None
         r = r.option("columns", json.dumps(needed))
     if o.where is not None and (pushed := filter_json(o.where)) is not None:
         r = r.option("where", json.dumps(pushed))
+    plain = o.compression is None and o.delimiter != "auto" and not o.strict and o.fixed_columns is None and o.worker_count == 1
+    if plain and (large := {p: n for p in files_of(path) if local_path(p) is not None and (n := size_of(p)) > SPLIT_BY_JOB}):
+        r = r.option("offsets", json.dumps({p: parallel_split_offsets(spark, p, -(-n // datasource.SHARD_BYTES), o.delimiter) for p, n in large.items()}))
     return r.load(path)
 
 
@@ -79,7 +86,7 @@ def quote_free(spark: SparkSession, path: str) -> bool:
     """Whether no file holds a quote or starts with a byte-order mark.  Reads the files once, in the JVM; stops at the first quote."""
     if not spark.read.text(path).where(F.contains("value", F.lit('"'))).isEmpty():
         return False
-    from ..sources.storage import files_of, open_bytes
+    from ..sources.storage import open_bytes
 
     for p in files_of(path):
         with open_bytes(p) as f:

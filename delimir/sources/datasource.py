@@ -91,6 +91,7 @@ class Reader(DataSourceReader):
         self.encoding = options.get("encoding", "utf8")
         self.columns = json.loads(options["columns"]) if "columns" in options else None
         self.where = options.get("where")
+        self.known = json.loads(options.get("offsets", "{}"))
 
     def whole(self) -> bool:
         return self.strict or self.compression is not None or self.fixed is not None
@@ -105,7 +106,7 @@ class Reader(DataSourceReader):
                 out.append(Shard(path, 0, None, delimiter))
                 continue
             n = asked or max(1, -(-size_of(path) // per))
-            at = safe_split_offsets(path, n, delimiter)
+            at = self.known.get(path) or safe_split_offsets(path, n, delimiter)
             out += [Shard(path, a, b, delimiter) for a, b in zip(at[:-1], at[1:], strict=True)]
         return out or [Shard("", 0, 0, ",")]
 

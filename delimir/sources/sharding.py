@@ -69,3 +69,113 @@ def safe_shards(path: str, count: int, delimiter: str = ",", compression=None) -
     """Inclusive byte ranges between the offsets; there may be fewer than ``count``."""
     at = safe_split_offsets(path, count, delimiter, compression, "csv.findCsvSafeShards")
     return [(a, b - 1) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+# -- the same, block by block -------------------------------------------------------------------
+# What a byte may find: a record's start, a field's start within a record, a plain field, a quoted
+# one, a quote inside it, a record's start after CR.
+RECORD, FIELD, PLAIN, QUOTED, QUOTE, AFTER_CR = range(6)
+
+
+class BlockScanner:
+    """Where records end in a block, for every state in which the block may begin.
+
+    Blocks can so be scanned in parallel; putting them together takes one step a block.
+    """
+
+    def __init__(self, delimiter: str):
+        self.d = delimiter.encode()
+        self.many, _ = record_pattern(delimiter)
+        self.stop = re.compile(b"[\r\n" + re.escape(self.d) + b"]")
+
+    def advance(self, data: bytes, at: int, state: int) -> tuple[int, int]:
+        """(position after the first record end or -1, state there or at the block's end)."""
+        n = len(data)
+        while at < n:
+            if state == QUOTED:
+                q = data.find(b'"', at)
+                if q < 0:
+                    return -1, QUOTED
+                at, state = q + 1, QUOTE
+                continue
+            if state == QUOTE and data[at : at + 1] == b'"':
+                at, state = at + 1, QUOTED
+                continue
+            if state in (RECORD, FIELD) and data[at : at + 1] == b'"':
+                at, state = at + 1, QUOTED
+                continue
+            m = self.stop.search(data, at)
+            if not m:
+                return -1, PLAIN
+            at = m.end()
+            if m[0] == self.d:
+                state = FIELD
+            elif m[0] == b"\r":
+                if at == n:
+                    return at, AFTER_CR
+                return at + (data[at : at + 1] == b"\n"), RECORD
+            else:
+                return at, RECORD
+        return -1, state
+
+    def scan(self, data: bytes) -> list[tuple[int, int]]:
+        """Per starting state: the first place at which a record begins (-1: none) and the state after the block."""
+        ends: dict[int, int] = {}
+
+        def end_from(at: int) -> int:
+            if at not in ends:
+                last = self.many.match(data, at).end()
+                if last == len(data):
+                    ends[at] = (AFTER_CR if data[-1:] == b"\r" else RECORD) if last > at else RECORD
+                else:
+                    ends[at] = self.advance(data, last, RECORD)[1]
+            return ends[at]
+
+        out = []
+        for state in range(6):
+            if not data:
+                out.append((0, state) if state in (RECORD, AFTER_CR) else (-1, state))
+            elif state == RECORD or state == AFTER_CR:
+                at = int(state == AFTER_CR and data[:1] == b"\n")
+                out.append((at, end_from(at)))
+            else:
+                at, after = self.advance(data, 0, state)
+                # after a CR at the very end the next block says where the record begins
+                out.append((-1, after) if at < 0 or after == AFTER_CR else (at, end_from(at)))
+        return out
+
+
+def offsets_from_blocks(starts: list[int], scans: list[list[tuple[int, int]]], size: int) -> list[int]:
+    """Shard offsets from each block's place and scan, in order."""
+    out, state = [0], RECORD
+    for start, scan in zip(starts, scans, strict=True):
+        at, state = scan[state]
+        if at >= 0 and out[-1] < start + at < size:
+            out.append(start + at)
+    return [*out, size] if size else [0]
+
+
+def parallel_split_offsets(spark, path: str, count: int, delimiter: str = ",") -> list[int]:
+    """``safe_split_offsets`` by a Spark job: each task scans one block of a mounted file for all states."""
+    import json
+
+    import pyarrow as pa
+
+    size = size_of(path)
+    starts = sorted({size * i // count for i in range(count)}) if size else []
+    blocks = spark.createDataFrame(list(zip(starts, [*starts[1:], size], strict=True)) or [(0, 0)], "a long, b long").repartition(max(1, len(starts)))
+
+    def run(batches):
+        from .storage import open_bytes
+
+        scanner = BlockScanner(delimiter)
+        for batch in batches:
+            out = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_bytes(path) as f:
+                    f.seek(a)
+                    out.append(json.dumps(scanner.scan(f.read(b - a))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["a", "scan"])
+
+    found = sorted(blocks.mapInArrow(run, "a long, scan string").collect())  # six small pairs a block
+    return offsets_from_blocks(starts, [json.loads(r.scan) for r in found][: len(starts)], size)

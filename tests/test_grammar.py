@@ -6,7 +6,7 @@ from delimir.operators.sinks import serialize
 from delimir.plans.errors import DelimitedError
 from delimir.sources import grammar
 from delimir.sources.grammar import ChunkParser, parse
-from delimir.sources.sharding import safe_shards, safe_split_offsets
+from delimir.sources.sharding import BlockScanner, offsets_from_blocks, safe_shards, safe_split_offsets
 
 GOLDEN = [
     (b"\n\n", ",", [[""], [""]]),
@@ -120,6 +120,17 @@ def test_shards_hold_whole_records(tmp_path_factory, text, n):
     assert len(shards) <= n
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet='ab,"\n\r', min_size=1, max_size=40), st.integers(1, 8))
+def test_blocks_give_the_same_offsets(tmp_path_factory, text, n):
+    f = tmp_path_factory.mktemp("b") / "x.csv"
+    data = text.encode()
+    f.write_bytes(data)
+    starts = sorted({len(data) * i // n for i in range(n)})
+    scans = [BlockScanner(",").scan(data[a:b]) for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert offsets_from_blocks(starts, scans, len(data)) == safe_split_offsets(str(f), n)
+
+
 @pytest.mark.parametrize(
     ("data", "n", "want"),
     [(b'a;b\r\n1;"x\r\ny"\r\n2;z\r\n', 2, [0, 15, 20]), (b'a;b\r\n1;"x\r\ny"\r\n2;z\r\n', 4, [0, 5, 15, 20]), (b'a;"b""\nc";d\nx;y;z\n', 2, [0, 12, 18]), (b"", 3, [0]), (b"a\nb\n", 1, [0, 4])],
