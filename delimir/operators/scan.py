@@ -19,10 +19,12 @@ from ..sources import datasource
 from ..sources.codecs import Zip
 from ..sources.grammar import encoding_of
 from ..sources.sharding import parallel_split_offsets
-from ..sources.storage import files_of, local_path, size_of
+from ..sources.storage import files_of, local_path, open_bytes, size_of
 
 #: Plain files beyond this are split by a Spark job rather than by one pass on the driver.
 SPLIT_BY_JOB = 1 << 30
+#: Up to so many files the driver looks at their first bytes itself.
+FEW_FILES = 256
 COLUMNS = ("_file", "_shard", "_pos", "fields")
 
 
@@ -86,13 +88,23 @@ def quote_free(spark: SparkSession, path: str) -> bool:
     """Whether no file holds a quote or starts with a byte-order mark.  Reads the files once, in the JVM; stops at the first quote."""
     if not spark.read.text(path).where(F.contains("value", F.lit('"'))).isEmpty():
         return False
-    from ..sources.storage import open_bytes
+    files = files_of(path)
+    if len(files) <= FEW_FILES:
+        return not any(map(marked, files))
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([any(map(marked, b.column(0).to_pylist()))])], names=["marked"])
+
+    many = spark.createDataFrame([(f,) for f in files], "file string").repartition(-(-len(files) // FEW_FILES))
+    return many.mapInArrow(run, "marked boolean").where("marked").isEmpty()
+
 
-    for p in files_of(path):
-        with open_bytes(p) as f:
-            if f.read(3) == b"\xef\xbb\xbf":
-                return False
-    return True
+def marked(path: str) -> bool:
+    """Whether a file starts with a byte-order mark, which the text source would drop."""
+    with open_bytes(path) as f:
+        return f.read(3) == b"\xef\xbb\xbf"
 
 
 def fast_scan(spark: SparkSession, path: str, o: Options) -> DataFrame:

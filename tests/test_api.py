@@ -70,6 +70,15 @@ def test_large_files_are_split_by_a_job(spark, tmp_path, monkeypatch):
     assert fields(df) == api.parse(f.read_bytes())
 
 
+def test_marks_are_seen_in_many_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "FEW_FILES", 2)
+    for i in range(7):
+        (tmp_path / f"{i}.csv").write_bytes(b"a,b\n")
+    assert S.quote_free(spark, str(tmp_path))
+    (tmp_path / "5.csv").write_bytes(b"\xef\xbb\xbfa,b\n")
+    assert not S.quote_free(spark, str(tmp_path))
+
+
 def test_conflicts(spark, people):
     for more, message in (
         ({"strict": True, "where": c(0).equals("1")}, "strict CSV validation is not supported"),
