@@ -10,16 +10,18 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, DataSourceStreamReader
 
-from ..functions.filters import from_json, to_predicate
+from ..functions.filters import Filter, from_json, to_predicate
 from ..plans.limits import DEFAULT_CHUNK
 from . import codecs, grammar
-from .sharding import safe_split_offsets
+from .sharding import record_pattern, safe_split_offsets
 from .sniff import detect_delimiter, hint_of
 from .storage import files_of, local_path, size_of
 
@@ -38,6 +40,95 @@ def empty_records(n: int, path: str, shard: int, size: int = 1 << 16) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()).take(zeros[:k]), pa.array(np.full(k, shard)), pa.array(np.arange(at, at + k)), pa.ListArray.from_arrays(zeros, pa.array([], pa.string()))], schema=ARROW)
 
 
+def whole_blocks(chunks: Iterator[bytes], delimiter: str) -> Iterator[bytes]:
+    """The same bytes, cut where records end; the last block may lack its end."""
+    many, _ = record_pattern(delimiter)
+    rest, grown = [], 0
+    for c in chunks:
+        rest.append(c)
+        grown += len(c)
+        if grown < rest_limit(len(rest[0])):
+            continue
+        data = b"".join(rest)
+        # without quotes the last line feed ends a record; a CR may still have its LF to come
+        cut = data.rfind(b"\n") + 1 if b'"' not in data and b"\r" not in data else many.match(data).end()
+        if cut and data[cut - 1 : cut] == b"\r" and cut == len(data):
+            cut = many.match(data, 0, cut - 1).end()
+        if cut:
+            yield data[:cut]
+        rest = [data[cut:]] if cut < len(data) else []
+        grown = 0
+    if rest:
+        yield b"".join(rest)
+
+
+def rest_limit(held: int) -> int:
+    """A long unfinished record is joined anew only when as much again has come."""
+    return held // 2
+
+
+def cut_fields(block: bytes, delimiter: str, encoding: str) -> pa.ListArray | None:
+    """Fields of whole records without quotes, cut by Arrow; None if the block has a quote."""
+    if b'"' in block:
+        return None
+    if b"\r" in block:
+        block = block.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+    if block.endswith(b"\n"):
+        block = block[:-1]
+    text = pa.array([block.decode(grammar.encoding_of(encoding), "replace")], pa.string())
+    return pc.split_pattern(pc.split_pattern(text, "\n").flatten(), delimiter)
+
+
+def field_of(fields: pa.ListArray, i: int) -> pa.Array:
+    """Field i of each record, null where there is none."""
+    at = fields.offsets.to_numpy()
+    place = np.where(at[1:] - at[:-1] > i, at[:-1] + i, -1)
+    return fields.values.take(pa.array(place, pa.int64(), mask=place < 0))
+
+
+def mask_of(f: Filter, fields: pa.ListArray) -> pa.Array:
+    """A filter without patterns on many records, with its three values."""
+    if f.kind == "not":
+        return pc.invert(mask_of(f.parts[0], fields))
+    if f.kind in ("all", "any"):
+        join = pc.and_kleene if f.kind == "all" else pc.or_kleene
+        return reduce(join, (mask_of(p, fields) for p in f.parts))
+    x = field_of(fields, f.column)
+    if f.kind == "startsWith":
+        return pc.starts_with(x, f.values[0])
+    found = pc.if_else(pc.is_valid(x), pc.is_in(x, pa.array(list(f.values), pa.string())), pa.scalar(None, pa.bool_()))
+    return found if f.kind in ("equals", "in") else pc.invert(found)
+
+
+def block_batches(chunks: Iterator[bytes], delimiter: str, encoding: str, path: str, shard: int, where: Filter | None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of all records that pass; blocks with quotes go through the tokenizer."""
+    pos = 0
+    keep = to_predicate(where) if where else None
+    for block in whole_blocks(chunks, delimiter):
+        fields = cut_fields(block, delimiter, encoding)
+        if fields is None:
+            n = 0
+
+            def counted(block=block):
+                nonlocal n
+                for r in grammar.records([block], delimiter, encoding):
+                    n += 1
+                    yield r
+
+            for b in batches(counted(), path, shard, None, keep, pos=pos):
+                yield b
+            pos += n
+            continue
+        at = np.arange(pos, pos + len(fields))
+        pos += len(fields)
+        if where is not None:
+            hit = np.flatnonzero(mask_of(where, fields).fill_null(False).to_numpy(zero_copy_only=False))
+            fields, at = fields.take(pa.array(hit)), at[hit]
+        for lo in range(0, len(fields), BATCH):
+            part = fields.slice(lo, BATCH)
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()).take(pa.array(np.zeros(len(part), np.int32))), pa.array(np.full(len(part), shard)), pa.array(at[lo : lo + BATCH]), part], schema=ARROW)
+
+
 @dataclass
 class Shard(InputPartition):
     path: str
@@ -57,9 +148,9 @@ def resolve_delimiter(path: str, delimiter: str, compression) -> str:
     return detect_delimiter(codecs.open_chunks(path, compression), hint_of(path, compression))
 
 
-def batches(rows: Iterator[list[str]], path: str, shard: int, columns: list[int] | None, keep, fields: bool = True) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[list[str]], path: str, shard: int, columns: list[int] | None, keep, fields: bool = True, pos: int = 0) -> Iterator[pa.RecordBatch]:
     """Arrow batches of records; ``columns`` keeps only these fields' values in place, others become empty."""
-    pos, held, at = 0, [], []
+    held, at = [], []
     want = None if columns is None else frozenset(columns)
 
     def out():
@@ -117,11 +208,12 @@ class Reader(DataSourceReader):
         if self.columns == [] and not self.where and not self.strict and self.fixed is None:
             yield from empty_records(grammar.record_count(chunks, partition.delimiter), partition.path, partition.start)
             return
-        keep = to_predicate(from_json(json.loads(self.where))) if self.where else None
-        if self.strict or self.fixed is not None:
-            rows = grammar.strict_records(chunks, partition.delimiter, self.encoding, self.fixed, self.strict)
-        else:
-            rows = grammar.records(chunks, partition.delimiter, self.encoding)
+        where = from_json(json.loads(self.where)) if self.where else None
+        if not self.strict and self.fixed is None:
+            yield from block_batches(chunks, partition.delimiter, self.encoding, partition.path, partition.start, where)
+            return
+        keep = to_predicate(where) if where else None
+        rows = grammar.strict_records(chunks, partition.delimiter, self.encoding, self.fixed, self.strict)
         if self.strict:
             rows = self.checked(rows)
         yield from batches(rows, partition.path, partition.start, self.columns, keep, self.columns != [])

@@ -1,4 +1,5 @@
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from delimir.functions.regex import regex
 from delimir.operators.scan import filter_json
 from delimir.plans.api import evaluate
 from delimir.plans.errors import DelimitedError
+from delimir.sources.datasource import mask_of
 
 ROWS = [["1", "Ana", "SP"], ["2", "Joao", "RJ"], ["3", "Bia", "SP"], ["4", "Caio", "MG"], ["5"], ["", "", ""], []]
 leaf = st.builds(
@@ -45,6 +47,13 @@ def test_predicate_is_kleene(f):
     assert from_json(filter_json(f)) == f
 
 
+@settings(max_examples=200, deadline=None)
+@given(trees)
+def test_arrow_masks_are_kleene(f):
+    rows = [r for r in ROWS if r]
+    assert mask_of(f, pa.array(rows, pa.list_(pa.string()))).to_pylist() == [kleene(f, r) for r in rows]
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(trees, min_size=8, max_size=8))
 def test_columns_are_kleene(spark, filters):

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from delimir.operators.sinks import serialize
 from delimir.plans.errors import DelimitedError
 from delimir.sources import grammar
+from delimir.sources.datasource import block_batches
 from delimir.sources.grammar import ChunkParser, parse
 from delimir.sources.sharding import BlockScanner, offsets_from_blocks, safe_shards, safe_split_offsets
 
@@ -102,6 +103,16 @@ def test_round_trip(rows, delimiter, chunk):
     assert [r for i in range(0, len(data), chunk) for r in p.write(data[i : i + chunk])] + p.end() == rows
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet='ab,"\n\r', max_size=40), st.integers(1, 9))
+def test_blocks_hold_the_same_records(text, chunk):
+    data = text.encode()
+    chunks = [data[i : i + chunk] for i in range(0, len(data), chunk)]
+    got = [r for b in block_batches(iter(chunks), ",", "utf8", "p", 0, None) for r in b.to_pylist()]
+    assert [r["fields"] for r in got] == parse(data)
+    assert [r["_pos"] for r in got] == list(range(len(got)))
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet='ab,"\n\r', max_size=30), st.integers(1, 6))
 def test_record_count(text, chunk):
