@@ -28,15 +28,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, shared_path, written
+from .common import remainder, shared_path
 
 #: Words, and pairs, of a shard; a task holds one shard at a time.
 WORD_SHARD, PAIR_SHARD = 2_000_000, 3_000_000
 #: Pairs that a counting task gathers before it sends them.
-HELD = 3_000_000
+HELD = 1_500_000
 ROWS, CHARS = 4096, 4 << 20
 #: The end of a text has this hash; no word's hash is changed to it (chance 2**-64).
 END = 0x9E3779B97F4A7C15
@@ -318,7 +319,7 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
             yield out()
 
     known = texts.mapInArrow(count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    known = written(known, "words")
+    known = known.persist(StorageLevel.MEMORY_AND_DISK)
     n = known.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     words, total = int(n[0]), int(n[1])
     ws, ps = max(1, -(-words // word_size)), max(1, -(-total // pair_size))
@@ -340,6 +341,7 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
             yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([len(w)])], names=["shard", "n"])
 
     sizes = {r["shard"]: r["n"] for r in by_shard(known.mapInArrow(with_shard, "shard long, w long, c long"), ws).mapInArrow(store_words, "shard long, n long").collect()}
+    known.unpersist()
     bases = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(ws)])])[:-1].tolist()
     model = Model(path, total, words, ws, bases, ps, pair_size)
     if not words:
