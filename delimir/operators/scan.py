@@ -107,9 +107,14 @@ def marked(path: str) -> bool:
         return f.read(3) == b"\xef\xbb\xbf"
 
 
+def literal_pattern(delimiter: str) -> str:
+    """A pattern for one character in the form that Java splits without its pattern engine."""
+    return "\\" + delimiter if delimiter in ".$|()[{^?*+\\" else delimiter
+
+
 def fast_scan(spark: SparkSession, path: str, o: Options) -> DataFrame:
     """Lines cut at the delimiter."""
-    cut = F.split("value", r"\Q" + o.delimiter + r"\E", -1)
+    cut = F.split("value", literal_pattern(o.delimiter), -1)
     return lines(spark, path, o.encoding).select("_file", "_shard", F.monotonically_increasing_id().alias("_pos"), cut.alias("fields"))
 
 

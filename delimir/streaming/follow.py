@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.scan import keep, project
+from ..operators.scan import keep, literal_pattern, project
 from ..plans.options import Options, options
 from ..sources import datasource
 
@@ -25,5 +25,5 @@ def follow_lines(spark: SparkSession, folder: str, delimiter: str = ",", where=N
 
     o = options(delimiter=delimiter, where=where, columns=columns)
     df = spark.readStream.text(folder)
-    df = df.select(F.col("_metadata.file_path").alias("_file"), F.split("value", r"\Q" + delimiter + r"\E", -1).alias("fields"))
+    df = df.select(F.col("_metadata.file_path").alias("_file"), F.split("value", literal_pattern(delimiter), -1).alias("fields"))
     return project(keep(df, o.where), o.columns)

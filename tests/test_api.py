@@ -52,6 +52,13 @@ def test_fast_scan_equals_source(spark, tmp_path, text):
     assert fields(api.rows(spark, str(f))) == want == api.parse(text.encode())
 
 
+@pytest.mark.parametrize("delimiter", list(",;\t|:^~.$()[{?*+\\/ -ax]}&"))
+def test_fast_scan_takes_any_delimiter(spark, tmp_path, delimiter):
+    f = tmp_path / "x.csv"
+    f.write_text(f"1{delimiter}2{delimiter}\n{delimiter}{delimiter}3\n")
+    assert fields(api.rows(spark, str(f), delimiter=delimiter, quotes=False)) == [["1", "2", ""], ["", "", "3"]]
+
+
 def test_strict_errors_end_the_job(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_text('id,name\n1,"Ad"a\n')
