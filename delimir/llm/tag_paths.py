@@ -4,8 +4,10 @@ Every piece of text belongs to a block and every block to a root-to-leaf path of
 (with their first class).  Per path the length and punctuation of its text are added up; the ratio
 of both to the path's blocks tells prose from labels, links count against it, and the sequence of
 ratios is smoothed along the page.  It is fused with what the markup says outright: elements for
-menus, footers, adverts, forms and comments never hold content, and paths below one container of
-content share its best ratio.  Paths above a threshold are the content.
+menus and footers never hold content as long as there is other text; forms and what class or id
+mark as adverts, comments and the like don't either, unless they hold the page's content (see
+``_Page.left_out``); and paths below one container of content share its best ratio.  Paths above a
+threshold are the content.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript noembed noframes iframe xmp".split())
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-NEVER = frozenset("head nav footer aside form button select svg math canvas audio video object template dialog menu datalist".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+NEVER = frozenset("head nav footer aside button select svg math canvas audio video object template dialog menu datalist".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 # Words in class or id that mark what is not content.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar sidebars widget widgets footer masthead topbar comment comments commentlist disqus respond replies reply share sharing social related recommended newsletter subscribe "
     "subscription signup login search pagination pager toolbar skiplink alert toast copyright colophon".split()
 )
+# Those of them that mark what readers wrote.
+REPLIES = frozenset("comment comments commentlist disqus respond replies reply".split())
 # Beside these words ``header`` names the head of an article.
 ARTICLE = frozenset("article post entry content story".split())
 CONTAINERS = frozenset(("article", "main"))
@@ -39,6 +43,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
 #: A path is content from this share of the mean ratio, weighted by length, on.
 THRESHOLD = 0.5
+#: Marked parts are content if they hold more than so many times the prose outside of marks (of what readers wrote: the second).
+MOST = (2, 8)
 #: Of a path's text, the share in links that makes it a menu.
 LINKS = 0.6
 
@@ -56,7 +62,9 @@ class _Page:
         self.s, self.absent = source, set()
         self.blocks: list[tuple[int, str, int]] = []
         self.label, self.parent, self.banned, self.container = [""], [-1], [False], [-1]
-        self.index: dict[tuple[int, str], int] = {}
+        self.words: list[frozenset[str]] = [frozenset()]  # what marks the path itself
+        self.count = [1]  # elements on the path
+        self.index: dict[tuple[int, str, frozenset[str], bool], int] = {}
         self.stack: list[tuple[str, int, bool]] = []  # element, path, hides its text
         self.open: dict[str, int] = {}
         self.parts: list[str] = []
@@ -95,14 +103,17 @@ class _Page:
             self.stack.append((name, here, hides))
         else:
             self.flush()
-            first, hides, banned = self.marks_of(name, attrs, here)
-            key = (here, name + first)
+            first, hides, banned, words = self.marks_of(name, attrs, here)
+            key = (here, name + first, words, banned)
             if key not in self.index:
                 self.index[key] = len(self.label)
                 self.label.append(name)
                 self.parent.append(here)
                 self.banned.append(self.banned[here] or banned)
+                self.words.append(words)
+                self.count.append(0)
                 self.container.append(len(self.label) - 1 if name in CONTAINERS and self.container[here] < 0 else self.container[here])
+            self.count[self.index[key]] += 1
             self.stack.append((name, self.index[key], hides))
         self.hidden += self.stack[-1][2]
         self.open[name] = self.open.get(name, 0) + 1
@@ -114,17 +125,78 @@ class _Page:
         hides = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
         return got, hides
 
-    def marks_of(self, name: str, attrs: str, here: int) -> tuple[str, bool, bool]:
-        """First class, whether the text is hidden, whether the element never holds content."""
+    def marks_of(self, name: str, attrs: str, here: int) -> tuple[str, bool, bool, frozenset[str]]:
+        """First class, whether the text is hidden, whether the element never holds content, words that mark it."""
         got, hides = self.marks(name, attrs, here) if attrs else ({}, False)
         words = set(_WORD.findall(got.get("class", "") + " " + got.get("id", "")))
-        banned = name in NEVER or got.get("role") in ROLES
-        if name == "header" and self.container[here] < 0:
-            banned = True
-        if name not in CONTAINERS and name not in ("html", "body") and (words & MARKS or "header" in words and self.container[here] < 0 and not words & ARTICLE and name not in HEADINGS):
-            banned = True
+        found = words & MARKS
+        outside = self.container[here] < 0
+        if outside and (name == "header" or "header" in words and not words & ARTICLE and name not in HEADINGS):
+            found.add("header")
+        if name == "form" or got.get("role") == "form":
+            found.add("form")
+        if name in ("html", "body", "main"):
+            found = set()
         first = got.get("class", "").split(None, 1)
-        return ("." + first[0] if first else ""), hides, banned
+        return ("." + first[0] if first else ""), hides, name in NEVER or got.get("role") in ROLES, frozenset(found)
+
+    def left_out(self) -> list[bool]:
+        """Which paths marks leave out.
+
+        A mark doesn't count where its part of the page holds ``main``; where it holds an ``article``
+        without a mark and there is none elsewhere, or only shorter ones; and where it holds most of
+        the prose.  Prose below further marks isn't a part's own and comments within comments are
+        never the page's content, so a list of comments marked one by one stays out.  An article's own mark counts only below another mark.
+        """
+        n = len(self.label)
+        own = [0] * n
+        for path, text, linked in self.blocks:
+            if not self.banned[path] and PUNCTUATION.search(text):
+                own[path] += max(0, len(text) - linked)
+        marked = [bool(w) and not self.banned[p] and self.label[p] != "article" for p, w in enumerate(self.words)]
+        if not any(marked):
+            return [False] * n
+
+        def below(given: list[bool]) -> list[bool]:
+            out = given[:]
+            for p in range(1, n):
+                out[p] = out[p] or out[self.parent[p]]
+            return out
+
+        def sums(given: list[bool]) -> list[int]:
+            """Prose of each path and below, without what is below further marks."""
+            out = own[:]
+            for p in range(n - 1, 0, -1):
+                if not given[p]:
+                    out[self.parent[p]] += out[p]
+            return out
+
+        covered = below(marked)
+        prose = sums([False] * n)
+        mains = [not self.banned[p] and self.label[p] == "main" and prose[p] > 0 for p in range(n)]
+        mean = [prose[p] / self.count[p] if self.label[p] == "article" and not self.banned[p] else 0.0 for p in range(n)]
+        other = max((max(mean[p], float(prose[p] if mains[p] else 0)) for p in range(n) if not covered[p]), default=0.0)
+        best = [0.0 if self.words[p] else mean[p] for p in range(n)]  # of articles without a mark below each path
+        for p in range(n - 1, 0, -1):
+            q = self.parent[p]
+            best[q], mains[q] = max(best[q], best[p]), mains[q] or mains[p]
+        for p in range(n):
+            if marked[p] and (mains[p] or best[p] > 0 and (not other or best[p] >= other and not self.words[p] & REPLIES)):
+                marked[p] = False
+        replies = [bool(w & REPLIES) for w in self.words]
+        inner = below(replies)
+        times = [MOST[r] for r in replies]
+        main = any(mains[p] and self.label[p] == "main" and not covered[p] for p in range(n))
+        free = [p for p in range(1, n) if marked[p] and not (replies[p] and (inner[self.parent[p]] or other)) and not (main and self.container[p] < 0)]
+        while any(marked):
+            part = sums(marked)
+            top = max((p for p in free if marked[p]), key=lambda p: (part[p] / times[p], -p), default=0)
+            if not top or part[top] <= times[top] * part[0]:
+                break
+            while top > 0:  # with what is marked around it
+                marked[top] = False
+                top = self.parent[top]
+        return below(marked)
 
     def pop(self) -> None:
         name, _, hides = self.stack[-1]
@@ -215,7 +287,8 @@ def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
     if not source:
         return []
     page = _Page(source)
-    blocks = [b for b in page.blocks if not page.banned[b[0]]]
+    out = page.left_out()
+    blocks = [b for b in page.blocks if not page.banned[b[0]] and not out[b[0]]] or [b for b in page.blocks if not page.banned[b[0]]] or page.blocks
     if not blocks:
         return []
     chars: dict[int, int] = {}

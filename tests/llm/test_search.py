@@ -70,6 +70,34 @@ def test_headers_and_references():
     assert blocks_of('<div class="header"><p>Site, slogan, and more.</p></div><div class="post"><div class="post-header"><h1>A&amp;B &am<b>p;</b></h1></div><p>Text, long enough. Really, it is.</p></div>') == ["A&B &amp;", "Text, long enough. Really, it is."]
 
 
+PROSE = "<p>First part, with commas. And more.</p><p>Second part, too, of prose.</p>"
+TEXTS = ["First part, with commas. And more.", "Second part, too, of prose."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content-sidebar-wrap"><main>{PROSE}</main><div class="sidebar"><p>Buy, now, buy.</p></div></div>',
+        f'<body><div class="layout has-sidebar"><div><article>{PROSE}</article></div></div><div class="related"><article><p>Tea, ser.</p></article></div></body>',
+        f'<div class="post social-policy">{PROSE}<div class="comments"><p class="comment">{"So, there. " * 50}</p></div></div>',
+        f'<div class="has-sidebar"><div class="post share-price">{PROSE}</div></div><div>Tel, fax.</div>',
+        f"<body><form id=aspnetForm>{PROSE}</form></body>",
+        f"<form><article>{PROSE}<form><p>Your name, please.</p></form></article></form>",
+        f"<body><aside>{PROSE}</aside></body>",
+        f'<div class="post social"><p>Do, share.</p></div><div class="post">{PROSE}</div>',
+    ],
+)
+def test_marks_around_content(page):
+    assert blocks_of(page) == TEXTS
+
+
+def test_marks_beside_content():
+    long = "<p>" + "Words, and words. " * 30 + "</p>"
+    assert blocks_of(f'<article>{PROSE}</article><section id="comments"><article class="comment">{long}</article></section>') == TEXTS
+    assert blocks_of(f'<article>{PROSE}</article><section id="comments"><article>{long}</article></section>') == TEXTS
+    assert blocks_of(f'<main>{PROSE}</main><div class="sidebar">{long}</div>') == TEXTS
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "plain & text", "<p", "<a '" * 3000, "<div>" * 3000 + "x", "<b><p>" * 3000, "<script>", "<!--", "</p>" * 3000, "<p>" + "word " * 200000])
 def test_damaged_pages(page):
     assert isinstance(blocks_of(page), list)
