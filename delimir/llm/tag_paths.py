@@ -50,7 +50,7 @@ LINKS = 0.6
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _TO_QUOTE = re.compile(r"[^>\"']*")
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s"'>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]+)))?""")  # one after another, values included
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 

@@ -98,6 +98,21 @@ def test_marks_beside_content():
     assert blocks_of(f'<main>{PROSE}</main><div class="sidebar">{long}</div>') == TEXTS
 
 
+@pytest.mark.parametrize("attrs", ['href="/hidden-lakes.html"', 'title="A hidden gem"', 'data-hidden="false"', 'data-state="hidden"', "data-id=ad", 'title=\'x id="ad" hidden\'', 'data-x="a>b" data-class = "ads"', "href=/hidden/id=ad", 'title="style=display:none"'])
+def test_names_within_other_attributes(attrs):
+    assert blocks_of(f"<article><div {attrs}>Some <b {attrs}>bold</b> words, here.</div></article>") == ["Some bold words, here."]
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", "title='a' hidden", "x=y hidden", "aria-hidden = true", 'a="1"style="color:red; display: none"'])
+def test_hidden_attributes(attrs):
+    assert blocks_of(f"<article><p>Some <b {attrs}>unseen</b> words, here.</p></article>") == ["Some words, here."]
+
+
+def test_quoted_and_repeated_attributes_are_read_once():
+    assert blocks_of("<article>" + '<p a="' * 3000) == blocks_of("<p " + "a='\"' " * 3000 + "x") == []
+    assert blocks_of(f"<div class='post' class=ads>{PROSE}</div><div class='x ads' id=y><p>Buy, now.</p></div>") == TEXTS
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "plain & text", "<p", "<a '" * 3000, "<div>" * 3000 + "x", "<b><p>" * 3000, "<script>", "<!--", "</p>" * 3000, "<p>" + "word " * 200000])
 def test_damaged_pages(page):
     assert isinstance(blocks_of(page), list)
