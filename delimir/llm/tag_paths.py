@@ -6,8 +6,10 @@ of both to the path's blocks tells prose from labels, links count against it, an
 ratios is smoothed along the page.  It is fused with what the markup says outright: elements for
 menus and footers never hold content as long as there is other text; forms and what class or id
 mark as adverts, comments and the like don't either, unless they hold the page's content (see
-``_Page.left_out``); and paths below one container of content share its best ratio.  Paths above a
-threshold are the content.
+``_Page.left_out``); and paths below ``main`` or ``article`` share its best ratio.  Paths above a
+threshold are the content.  Without these elements the container is the lowest common ancestor of
+such paths, and the headings, lists, quotes and tables between or next to their blocks are content
+too.  Lists of links are content within an article.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ REPLIES = frozenset("comment comments commentlist disqus respond replies reply".
 # Beside these words ``header`` names the head of an article.
 ARTICLE = frozenset("article post entry content story".split())
 CONTAINERS = frozenset(("article", "main"))
+LISTS = frozenset(("ul", "ol", "dl"))
+FLOW = frozenset("p pre blockquote figure".split()) | LISTS
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 
@@ -56,11 +60,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Page:
-    """One pass over the markup: blocks as (path, text, length in links)."""
+    """One pass over the markup: blocks as (path, text, length in links, element)."""
 
     def __init__(self, source: str):
         self.s, self.absent = source, set()
-        self.blocks: list[tuple[int, str, int]] = []
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self.element, self.around, self.of = 0, [-1], [0]  # the open block element; per element the one around it and its path
         self.label, self.parent, self.banned, self.container = [""], [-1], [False], [-1]
         self.words: list[frozenset[str]] = [frozenset()]  # what marks the path itself
         self.count = [1]  # elements on the path
@@ -83,11 +88,26 @@ class _Page:
     def path(self) -> int:
         return self.stack[-1][1] if self.stack else 0
 
+    def below(self, given: list[bool]) -> list[bool]:
+        """Those given and all paths below them."""
+        out = given[:]
+        for p in range(1, len(out)):
+            out[p] = out[p] or out[self.parent[p]]
+        return out
+
+    def nearest(self, path: int) -> list[int]:
+        """Per element the nearest on the path, itself included; those outside have the page's."""
+        out = list(range(len(self.of)))
+        for e in range(1, len(out)):
+            if self.of[e] != path:
+                out[e] = out[self.around[e]]
+        return out
+
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((self.path(), text, self.linked))
+                self.blocks.append((self.path(), text, self.linked, self.element))
         self.parts, self.linked = [], 0
 
     def text(self, piece: str) -> None:
@@ -114,6 +134,9 @@ class _Page:
                 self.count.append(0)
                 self.container.append(len(self.label) - 1 if name in CONTAINERS and self.container[here] < 0 else self.container[here])
             self.count[self.index[key]] += 1
+            self.around.append(self.element)
+            self.of.append(self.index[key])
+            self.element = len(self.of) - 1
             self.stack.append((name, self.index[key], hides))
         self.hidden += self.stack[-1][2]
         self.open[name] = self.open.get(name, 0) + 1
@@ -150,18 +173,14 @@ class _Page:
         """
         n = len(self.label)
         own = [0] * n
-        for path, text, linked in self.blocks:
+        for path, text, linked, _ in self.blocks:
             if not self.banned[path] and PUNCTUATION.search(text):
                 own[path] += max(0, len(text) - linked)
         marked = [bool(w) and not self.banned[p] and self.label[p] != "article" for p, w in enumerate(self.words)]
         if not any(marked):
             return [False] * n
 
-        def below(given: list[bool]) -> list[bool]:
-            out = given[:]
-            for p in range(1, n):
-                out[p] = out[p] or out[self.parent[p]]
-            return out
+        below = self.below
 
         def sums(given: list[bool]) -> list[int]:
             """Prose of each path and below, without what is below further marks."""
@@ -202,6 +221,7 @@ class _Page:
         name, _, hides = self.stack[-1]
         if name not in INLINE:
             self.flush()
+            self.element = self.around[self.element]
         self.stack.pop()
         self.hidden -= hides
         self.open[name] -= 1
@@ -295,7 +315,7 @@ def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
     marks: dict[int, int] = {}
     nodes: dict[int, int] = {}
     links: dict[int, int] = {}
-    for path, text, linked in blocks:
+    for path, text, linked, _ in blocks:
         chars[path] = chars.get(path, 0) + len(text)
         marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
         nodes[path] = nodes.get(path, 0) + 1
@@ -306,20 +326,12 @@ def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
     raw = [ratio[b[0]] for b in blocks]
     smooth = [0.25 * raw[max(0, k - 1)] + 0.5 * raw[k] + 0.25 * raw[min(len(raw) - 1, k + 1)] for k in range(len(raw))]
     fused = dict.fromkeys(chars, 0.0)
-    for (path, _, _), x in zip(blocks, smooth, strict=True):
+    for (path, _, _, _), x in zip(blocks, smooth, strict=True):
         fused[path] += x / nodes[path]
     for p in menu:
         fused[p] = 0.0
-    # paths below one container share its best ratio; without one, the best path's parent is the container
     home = {p: page.container[p] for p in chars}
-    if all(c < 0 for c in home.values()):
-        best = max(chars, key=lambda p: (fused[p] * chars[p], -p))
-        top = page.parent[best] if page.parent[best] > 0 and page.label[page.parent[best]] not in ("html", "body") else best
-        for p in chars:
-            q = p
-            while q > 0 and q != top:
-                q = page.parent[q]
-            home[p] = top if q == top else -1
+    inferred = all(c < 0 for c in home.values())
     shared: dict[int, float] = {}
     for p, c in home.items():
         if c >= 0:
@@ -327,10 +339,70 @@ def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
     for p, c in home.items():
         if p not in menu and c >= 0:
             fused[p] = max(fused[p], shared[c] * 2)
+    apart: set[int] = set()  # blocks of elements like the best path's parent that hold none of its blocks
+    if inferred:  # paths beside the best one share its ratio, except right in body
+        fused = {p: min(fused[p], ratio[p]) for p in chars}  # the neighbour of a long block isn't content by that
+        best = max(chars, key=lambda p: (fused[p] * chars[p], -p))
+        top = page.parent[best]
+        if top > 0 and page.label[top] not in ("html", "body"):
+            beside = page.below([p == top for p in range(len(page.label))])
+            raised = {p for p in chars if beside[p] and p not in menu and fused[p] < fused[best]}
+            around = page.nearest(top)
+            real = {around[b[3]] for b in blocks if b[0] == best}
+            apart = {k for k, b in enumerate(blocks) if b[0] in raised and around[b[3]] not in real and fused[b[0]] < threshold * fused[best]}
+            fused |= dict.fromkeys(raised, fused[best])
     total = sum(chars.values())
     need = threshold * sum(fused[p] * chars[p] for p in chars) / total
     kept = {p for p in chars if fused[p] > 0 and fused[p] >= need}
-    return [text for path, text, _ in blocks if path in kept]
+    if not kept:
+        return []
+    if inferred:
+        return [blocks[k][1] for k in _between(page, blocks, kept, menu, apart)]
+    # lists of links within the article
+    article, lists = page.below([x == "article" for x in page.label]), page.below([x in LISTS for x in page.label])
+    alone = not any(article[p] for p in kept)
+    links = {p for p in menu if lists[p] and home[p] >= 0 and (article[p] or alone) and shared[home[p]] * 2 >= need}
+    return [text for path, text, _, _ in blocks if path in kept or path in links]
+
+
+def _between(page: _Page, blocks: list[tuple[int, str, int, int]], kept: set[int], menu: set[int], apart: set[int]) -> list[int]:
+    """Numbers of the blocks on ``kept`` paths, except ``apart``, and of what belongs to them below their lowest common ancestor."""
+    n = len(page.label)
+    held = [int(p in kept) for p in range(n)]
+    for p in range(n - 1, 0, -1):
+        held[page.parent[p]] += held[p]
+    top = max(p for p in range(n) if held[p] == len(kept))
+    if top in kept and top > 0:  # what stands beside its blocks
+        top = page.parent[top]
+    named = page.label[top] not in ("", "html", "body")
+    inside, flow = [False] * n, [False] * n  # headings, lists and the like below the container; tables only if they don't lay out kept blocks
+    for p in range(top + 1, n):
+        q, x = page.parent[p], page.label[p]
+        inside[p] = q == top or inside[q]
+        flow[p] = inside[p] and (flow[q] or x in FLOW or x in HEADINGS or x == "table" and not held[p])
+    heading = page.below([x in HEADINGS for x in page.label])
+    container = page.nearest(top)
+    content = [b[0] in kept and k not in apart for k, b in enumerate(blocks)]
+    at = [k for k, c in enumerate(content) if c]
+    for k in range(at[0], at[-1]):
+        content[k] = content[k] or flow[blocks[k][0]]
+    for k in range(at[0] - 1, -1, -1):  # what leads up to the first block
+        path, _, _, e = blocks[k]
+        if not flow[path] or path in menu or container[e] != container[blocks[at[0]][3]]:
+            break
+        content[k] = True
+    head = None  # headings count as soon as something follows
+    for k in range(at[-1] + 1, len(blocks)):
+        path, _, _, e = blocks[k]
+        if not flow[path] or path in menu and not named or container[e] != container[blocks[at[-1]][3]]:
+            break
+        if heading[path]:
+            head = k if head is None else head
+        else:
+            for i in range(k if head is None else head, k + 1):
+                content[i] = True
+            head = None
+    return [k for k, c in enumerate(content) if c]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -113,6 +113,39 @@ def test_quoted_and_repeated_attributes_are_read_once():
     assert blocks_of(f"<div class='post' class=ads>{PROSE}</div><div class='x ads' id=y><p>Buy, now.</p></div>") == TEXTS
 
 
+def long(words, n=30):
+    return " ".join(f"{words}, {k} of it." for k in range(n))
+
+
+def test_content_directly_in_body():
+    body = ["Title", long("one"), long("two"), "First head", "Second head", long("three"), "An item", "Another", long("four"), "Last item"]
+    t, a, b, h, i, c, x, y, d, z = body
+    page = f"<div><a href=/>Home</a> <a href=/b>Blog</a></div><h1>{t}</h1><p>{a}</p><p>{b}</p><h2>{h}</h2><h3>{i}</h3><p>{c}</p><ul><li>{x}<li>{y}</ul><p>{d}</p><ol><li>{z}</ol><div>Call us</div><h3>More</h3><footer>x</footer>"
+    assert blocks_of(f"<html><body>{page}</body></html>") == blocks_of(page) == body
+
+
+def test_sibling_sections():
+    parts = [("Head", long("first")), ("Other head", long("next", 24)), ("Third", long("last", 27))]
+    page = "".join(f"<div class=s{k}><h2>{h}</h2><p>{p}</p><p>{p}</p></div>" for k, (h, p) in enumerate(parts))
+    assert blocks_of(f"<body><ul><li><a href=/>Home</a></ul>{page}<p><a href=/x>Imprint</a></p></body>") == [x for h, p in parts for x in (h, p, p)]
+
+
+def test_short_parts_beside_long_ones():
+    page = f"<div id=a><div class=x>{long('one')}</div><div class=y>Short</div><div class=x>{long('two')}</div></div>"
+    assert blocks_of(f"<body><div>Call us</div>{page}</body>") == [long("one"), "Short", long("two")]
+
+
+def test_lists_of_links():
+    links = "<h2>References</h2><ol><li><a href=x>A book</a><li><a href=y>A paper</a></ol>"
+    want = [long("one"), long("two"), "References", "A book", "A paper"]
+    page = f"<p>{want[0]}</p><p>{want[1]}</p>{links}"
+    menu = "<ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul>"
+    assert blocks_of(f"{menu}<article>{page}</article>{menu}") == want
+    assert blocks_of(f"{menu}<main>{page}</main>{menu}") == want
+    assert blocks_of(f"{menu}<div id=text>{page}</div><div>{menu}</div>") == want
+    assert blocks_of(f"{menu}{links}<p>{want[0]}</p>{links}<p>{want[1]}</p>{menu}") == [want[0], *want[2:], want[1]]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "plain & text", "<p", "<a '" * 3000, "<div>" * 3000 + "x", "<b><p>" * 3000, "<script>", "<!--", "</p>" * 3000, "<p>" + "word " * 200000])
 def test_damaged_pages(page):
     assert isinstance(blocks_of(page), list)
