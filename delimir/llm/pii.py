@@ -31,8 +31,8 @@ BASE = {
 }
 #: A text without these has no match of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Candidates: 6 to 64 characters of an identifier, at least four of them digits, not within a longer run.
-CANDIDATE = r"(?<![A-Za-z0-9_@#+/.-])(?=(?:[A-Za-z_@#+/.-]*[0-9]){4})[A-Za-z0-9_@#+/.-]{5,63}+(?<=[A-Za-z0-9])(?![A-Za-z0-9_@#+/-])"
+#: Candidates: 5 to 63 characters of an identifier, at least four of them digits, not within a longer run; stops, dashes and slashes after the last letter or digit aren't part.
+CANDIDATE = r"(?<![A-Za-z0-9_@#+/.-])(?=(?:[A-Za-z_@#+/.-]*+[0-9]){4})(?=[A-Za-z0-9_@#+/.-]{4}[_@#+/.-]*+[A-Za-z0-9])(?![A-Za-z0-9_@#+/.-]{64})[_@#+/.-]*+[A-Za-z0-9]++(?:[_@#+/.-]++[A-Za-z0-9]++)*+(?![/.-]*+[_@#+])"
 CONTEXT_CHARS = 40
 ROUNDS = 3
 MIN_SEEDS = 3

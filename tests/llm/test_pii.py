@@ -47,6 +47,17 @@ def test_patterns_discover(spark):
     assert out[0] == "you can reach us at [PHONE] today" and out[9] == "you can reach us at [ID] today" and out[10] == texts[10]
 
 
+def test_identifiers_before_punctuation(spark):
+    ends = [". Then", ".", "...", "-", "/ x", "-- so", "!", "", ".)", "/."]
+    texts = [f"you can reach us at +1 (555) 010-{k:04d} today" for k in range(60)] + [f"you can reach us at {n}{e}" for e in ends for n in ("01555010991", "555-8283")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in digest(df).collect()}
+    out = {r.doc_id: r.text for r in redacted(df).collect()}
+    for k, e in enumerate(ends):
+        assert (got[60 + 2 * k], got[61 + 2 * k]) == ("id:20:31", "id:20:28"), e
+        assert out[60 + 2 * k] == out[61 + 2 * k] == f"you can reach us at [ID]{e}"
+
+
 def test_redaction_keeps_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, None, "k"), (1, "to a@b.cd or 10.0.0.1", "k"), (1, "to a@b.cd or 10.0.0.1", "k")], "doc_id long, text string, lang string")
     got = redacted(df)
