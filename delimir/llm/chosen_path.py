@@ -2,19 +2,27 @@
 
 Documents are sets of five-word shingles.  Equal sets are one *text* from the start.  Each text has
 a signature of T minimum hashes; its entries are the tokens of the search.  A run samples tokens of
-each text -- RATE of them on average, by a hash of the path so far, so that similar texts sample
-shared ones -- and texts that sampled the same token meet in a bucket.  Buckets of at most LIMIT
-texts are compared by brute force; larger ones are split again on further sampled tokens.  A text
-that is almost its bucket's pivot is tied to it and leaves the bucket: all its partners are near
-the pivot too, so a large group of near copies needs no splitting.  After DEPTH levels whatever is
-still together is tied together.  Runs are repeated until the recall bound holds: a pair of
-similarity 0.8 meets at a level with chance 1 - exp(-RATE * 0.8) or more, hence survives a run of
-any depth with at least the fixed point s = 1 - exp(-RATE * 0.8 * s) = 0.64, and RUNS = 12 runs
-miss it with chance below 5e-6.
+each text -- ``rate`` of them on average, by a hash of the path so far, so that similar texts sample
+shared ones -- and texts that sampled the same token meet in a bucket.  Buckets of at most SPLIT
+texts are compared by brute force, larger ones are split again on further sampled tokens, and what
+is still together after ``depth`` levels is compared by brute force too, however large.
+
+Comparing means counting the entries in which two *sketches*, two bits of each signature entry,
+differ.  That count is a metric, so a large group of near copies needs no splitting: the texts
+within LEAVE of a bucket's pivot leave the bucket, and nothing is lost by it.  Two of them are both
+tied to the pivot; a partner of one of them is within ``reach`` of it, hence within LEAVE + reach of
+the pivot, and those are compared with the texts that leave, in blocks (``_bridges``).  The pivot is
+the least by a hash of text and bucket, so that another text is it in each bucket.
+
+Runs are repeated until the recall bound holds: with rate = 1.6 / threshold a pair at the threshold
+survives a run of any depth with at least the fixed point s = 1 - exp(-1.6 s) = 0.64, and RUNS = 12
+runs miss it with chance below 5e-6.  Two bits agree by chance in a quarter of the differing
+entries; ``reach`` lies 4.8 deviations above what a pair at the threshold has on average, which a pair
+at the threshold of 0.8 exceeds with chance 9e-6, and ever fewer above.
 
 All this only proposes: ties make candidate groups, and each group's real shingle sets are then
-compared exactly, pair by pair, in blocks of BLOCK texts.  Pairs are counted where they are
-compared and never leave the task; what leaves is one row per text and block.
+compared exactly, pair by pair, in blocks.  Pairs are counted where they are compared and never
+leave the task; what leaves is one row per text and block.
 """
 
 from __future__ import annotations
@@ -29,22 +37,24 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, written
-from .components import components
+from .common import slices, written
+from .components import components, least_of_component
 
 N = 5
 THRESHOLD = 0.8
 T = 64
-RATE = 2.0
 RUNS = 12
-DEPTH = 3
-LIMIT = 48
-#: Texts far from the pivot that a large bucket may hold and still be settled at once.
-FAR = 240
-#: Of 64 one-bit entries: a pair of similarity 0.8 agrees in 57.6 on average, 2.4 the deviation.
-NEAR = 46
-SAME = 60
-BLOCK = 512
+DEPTH = 4
+#: Texts of a bucket that is split no more: comparing that many sketches costs less than moving them on.
+SPLIT = 4096
+#: Texts of a bucket that are compared in one sweep over many buckets; larger ones are compared in blocks.
+LIMIT = 128
+#: A text that differs from the pivot in so many entries at most leaves the bucket.
+LEAVE = 16
+#: Texts of a block of a bucket, and of the texts that leave it.
+PART, LEAVERS = 2048, 32768
+#: Texts and shingles of a block of the exact comparison.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -104,17 +114,30 @@ def fingerprint(s: np.ndarray) -> int:
         return int(mix(x[:1] * _U(3) + x[1:])[0].astype(np.int64))
 
 
-def extend(parent: np.ndarray, used: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def extend(parent: np.ndarray, used: np.ndarray, sig: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sampled tokens of each row: row numbers, new paths, tokens used so far (a bit each)."""
     j = np.arange(T, dtype=np.uint64)
     h = mix(mix(parent)[:, None] + sig.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (j + _U(1)) * _U(0xD1B54A32D192ED03))
     free = (used[:, None] >> j) & _U(1) == 0
-    row, at = np.nonzero((h < _U(int(RATE / T * 2**64))) & free)
+    row, at = np.nonzero((h < _U(int(min(rate / T, 0.999) * 2**64))) & free)
     return row, mix(h[row, at] + _U(11)), used[row] | (_U(1) << at.astype(np.uint64))
 
 
-def _bits(sig: np.ndarray) -> np.ndarray:
-    return (((sig >> np.uint32(17)) & np.uint32(1)).astype(np.uint64) << np.arange(T, dtype=np.uint64)).sum(1, dtype=np.uint64)
+def sketch(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of each entry, as two words a row."""
+    at = np.arange(T, dtype=np.uint64)
+    return tuple((((sig >> np.uint32(k)) & np.uint32(1)).astype(np.uint64) << at).sum(1, dtype=np.uint64) for k in (17, 5))
+
+
+def differing(a1, a2, b1, b2):
+    """In how many entries two sketches differ.  Signed numbers would be counted by their absolute value."""
+    return np.bitwise_count(((a1 ^ b1) | (a2 ^ b2)).view(np.uint64))
+
+
+def reach(threshold: float) -> int:
+    """So many entries of two sketches differ at most, at the threshold and 4.8 deviations above the mean."""
+    p = 0.75 * (1 - threshold)
+    return min(T, int(T * p + 4.8 * math.sqrt(T * p * (1 - p))))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -122,123 +145,195 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp, n, s, sig) of each row."""
+    """(id, fp, n, s1, s2, sig) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1))
                 sigs = [signature(s).view(np.int32) for s in sets]
                 flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int32)
-                bits = _bits(flat.view(np.uint32).reshape(-1, T))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _signed(bits), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, T, dtype=np.int32), pa.array(flat))], names=["id", "fp", "n", "s", "sig"])
+                s1, s2 = sketch(flat.view(np.uint32).reshape(-1, T))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _signed(s1), _signed(s2), pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, T, dtype=np.int32), pa.array(flat))], names=["id", "fp", "n", "s1", "s2", "sig"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, f"id {kind}, fp long, n int, s long, sig array<int>")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t")).mapInArrow(run, f"id {kind}, fp long, n int, s1 long, s2 long, sig array<int>")
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().view(np.uint32).reshape(-1, T)
 
 
-def _first_paths(texts: DataFrame, runs: int) -> DataFrame:
+_ROW = ("b", "fp", "s1", "s2", "used")
+_ROW_SCHEMA = "b long, fp long, s1 long, s2 long, used long"
+
+
+def _paths(path, used, row, fp, s1, s2) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_signed(path), pa.array(fp[row]), pa.array(s1[row]), pa.array(s2[row]), _signed(used)], names=list(_ROW))
+
+
+def _first_paths(texts: DataFrame, runs: int, rate: float) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 p = b.slice(at, 2048)
-                sig, fp, s = _sigs(p.column(2)), p.column(0).to_numpy(), p.column(1).to_numpy()
+                sig, (fp, s1, s2) = _sigs(p.column(3)), (p.column(i).to_numpy() for i in range(3))
                 for r in range(runs):
-                    row, path, used = extend(np.full(len(fp), r, np.uint64), np.zeros(len(fp), np.uint64), sig)
-                    yield pa.RecordBatch.from_arrays([_signed(path), pa.array(fp[row]), pa.array(s[row]), _signed(used)], names=["b", "fp", "s", "used"])
+                    row, path, used = extend(np.full(len(fp), r, np.uint64), np.zeros(len(fp), np.uint64), sig, rate)
+                    yield _paths(path, used, row, fp, s1, s2)
 
-    return texts.select("fp", "s", "sig").mapInArrow(run, "b long, fp long, s long, used long")
+    return texts.select("fp", "s1", "s2", "sig").mapInArrow(run, _ROW_SCHEMA)
 
 
-def _next_paths(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _next_paths(rows: DataFrame, texts: DataFrame, rate: float) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 p = b.slice(at, 2048)
-                parent, fp, s, used = (p.column(i).to_numpy() for i in range(4))
-                row, path, used = extend(parent.view(np.uint64), used.view(np.uint64), _sigs(p.column(4)))
-                yield pa.RecordBatch.from_arrays([_signed(path), pa.array(fp[row]), pa.array(s[row]), _signed(used)], names=["b", "fp", "s", "used"])
+                parent, fp, s1, s2, used = (p.column(i).to_numpy() for i in range(5))
+                row, path, used = extend(parent.view(np.uint64), used.view(np.uint64), _sigs(p.column(5)), rate)
+                yield _paths(path, used, row, fp, s1, s2)
+
+    return rows.join(texts.select("fp", "sig"), "fp").select(*_ROW, "sig").mapInArrow(run, _ROW_SCHEMA)
 
-    return rows.join(texts.select("fp", "sig"), "fp").select("b", "fp", "s", "used", "sig").mapInArrow(run, "b long, fp long, s long, used long")
 
+def _star(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Ties as stars: what a task has found costs a row a text, however many pairs there were."""
+    v, root = least_of_component(np.concatenate(a), np.concatenate(b))
+    keep = v != root
+    return pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(root[keep])], names=["a", "b"])
 
-def _brute(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, size: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first ``keys`` ones, in pieces of whole groups and about ``size`` rows."""
+    held, rows = [], 0
+    for b in batches:
+        held.append([c.to_numpy() for c in b.columns])
+        rows += b.num_rows
+        if rows < size:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        last = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in cols[:keys]])))  # the last group may go on
+        if last:
+            yield [c[:last] for c in cols]
+        held, rows = [[c[last:] for c in cols]], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _groups(*keys: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of each group of sorted keys."""
+    cut = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1
+    return np.split(np.arange(len(keys[0])), cut)
+
+
+def _brute(rows: DataFrame, limit: int, near: int) -> DataFrame:
     """Ties within buckets of at most ``limit`` texts: rows sorted by bucket are compared with the next ones."""
 
     def run(batches):
-        left = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(3)]
-            if left is not None:
-                cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
-            b, fp, s = cols
-            last = int(np.searchsorted(b, b[-1])) if len(b) else 0  # the last bucket may go on
-            left = [x[last:] for x in cols]
-            yield from pairs(b[:last], fp[:last], s[:last])
-        if left is not None:
-            yield from pairs(*left)
-
-    def pairs(b, fp, s):
-        for d in range(1, limit):
-            if len(b) <= d:
-                return
-            at = np.flatnonzero(b[d:] == b[:-d])
-            if not len(at):
-                return
-            at = at[np.bitwise_count(s[at + d] ^ s[at]) <= T - NEAR]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[at + d])], names=["a", "b"])
-
-    return rows.select("b", "fp", "s").repartition("b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
-
-
-def _bridges(met: DataFrame, easy: DataFrame) -> DataFrame:
-    """In large buckets with few texts far from the pivot: ties of these to the pivot through any text near it, and among them."""
-    few = met.where(f"size > {LIMIT} and agree < {NEAR}").join(easy.where("far > 0").select("b"), "b", "left_semi")
-    lists = few.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("fp", "s"))).alias("few"), F.min("p").alias("p"))  # at most FAR each
-    # a bit for each far text that this near one is close to; bits of a bucket are or-ed before they move
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-
-    def mask(k: int) -> Column:
-        bit = lambda x, i: F.when(F.bit_count(x["s"].bitwiseXOR(F.col("s"))) <= T - NEAR, F.call_function("shiftleft", one, i)).otherwise(zero)
-        return F.aggregate(F.transform(F.slice("few", 1 + 60 * k, 60), bit), zero, lambda a, x: a.bitwiseOR(x))
-
-    near = met.where(f"size > {LIMIT} and agree >= {NEAR}").select("b", "s").join(lists.select("b", "few"), "b")
-    words = range(-(-FAR // 60))
-    bits = near.groupBy("b").agg(*[F.bit_or(mask(k)).alias(f"m{k}") for k in words])
-    met_few = lists.join(bits, "b").select("p", F.array(*[f"m{k}" for k in words]).alias("bits"), F.posexplode("few").alias("i", "x"))
-    word = F.get("bits", (F.col("i") / 60).cast("int"))
-    bridged = met_few.where(F.call_function("shiftright", word, F.col("i") % 60).bitwiseAND(one) == 1)
-    return bridged.select(F.col("x.fp").alias("a"), F.col("p").alias("b")).unionByName(_brute(few, FAR))
-
-
-def candidate_ties(texts: DataFrame, runs: int = RUNS, depth: int = DEPTH) -> DataFrame:
-    """(a, b): texts that may be similar.  ``texts``: fp, s, sig; each fp once.  Each level is written, which keeps plans small."""
-    ties, rows = None, _first_paths(texts, runs)
+        for b, fp, s1, s2 in _grouped(batches, 1):
+            found = [], []
+            for d in range(1, min(limit, len(b))):
+                at = np.flatnonzero(b[d:] == b[:-d])
+                if not len(at):
+                    break
+                at = at[differing(s1[at + d], s2[at + d], s1[at], s2[at]) <= near]
+                found[0].append(fp[at])
+                found[1].append(fp[at + d])
+            if found[0]:
+                yield _star(*found)
+
+    return rows.select("b", "fp", "s1", "s2").repartition("b").sortWithinPartitions("b").mapInArrow(run, "a long, b long")
+
+
+def _in_blocks(rows: DataFrame, near: int, part: int) -> DataFrame:
+    """Ties within buckets of any size (column ``stay``): blocks of about ``part`` texts, each against each."""
+    nb = F.ceil(F.col("stay") / part).cast("int")
+    own = rows.select("b", "fp", "s1", "s2", nb.alias("nb")).withColumn("x", F.pmod(F.xxhash64("fp"), "nb").cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    side = ((F.col("x") > F.col("y"))).cast("int")
+    dealt = own.select("b", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), side.alias("side"), "fp", "s1", "s2").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j")
+
+    def run(batches):
+        for b, i, j, side, fp, s1, s2 in _grouped(batches, 3):
+            for at in _groups(b, i, j):
+                one = at if i[at[0]] == j[at[0]] else at[side[at] == 0]
+                two = at if i[at[0]] == j[at[0]] else at[side[at] == 1]
+                found = [], []
+                for lo in range(0, len(one), 256):
+                    k = one[lo : lo + 256]
+                    x, y = np.nonzero(differing(s1[k][:, None], s2[k][:, None], s1[two], s2[two]) <= near)
+                    found[0].append(fp[k[x]])
+                    found[1].append(fp[two[y]])
+                if found[0]:
+                    yield _star(*found)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _bridges(rows: DataFrame, near: int, leave: int, leavers: int) -> DataFrame:
+    """Ties of texts that stay to the pivot, where one of those that leave is near them.
+
+    Both are dealt to blocks of about ``leavers``, and each block of the one meets each of the other.
+    A text that stays is compared only with what the triangle inequality leaves possible.
+    """
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / leavers)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    gone = rows.where(f"r <= {leave} and fp != p").withColumn("i", own(blocks("gone"))).withColumn("j", every(blocks("stay")))
+    some = rows.where(f"r > {near} and r <= farthest + {near}").withColumn("j", own(blocks("stay"))).withColumn("i", every(blocks("gone")))
+    cols = ("b", "i", "j", "r", "p", "fp", "s1", "s2")
+    both = gone.select(*cols).unionByName(some.select(*cols)).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "r")
+
+    def run(batches):
+        for b, i, j, r, p, fp, s1, s2 in _grouped(batches, 3):
+            for at in _groups(b, i, j):
+                far, found = at[r[at] > near], []
+                left = at[r[at] <= leave][::-1]  # the farthest from the pivot first: most likely near those that stay
+                for lo in range(0, len(far), 64):
+                    open_ = far[lo : lo + 64]
+                    possible = left[r[left] >= r[open_].min() - near]
+                    step = 64
+                    while len(possible) and len(open_):
+                        k, possible, step = possible[:step], possible[step:], 4096
+                        hit = (differing(s1[open_][:, None], s2[open_][:, None], s1[k], s2[k]) <= near).any(1)
+                        found.append(open_[hit])
+                        open_ = open_[~hit]
+                if found:
+                    f = np.concatenate(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[f]), pa.array(p[f])], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def candidate_ties(texts: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, split: int = SPLIT, limit: int = LIMIT, leave: int = LEAVE, part: int = PART, leavers: int = LEAVERS) -> DataFrame:
+    """(a, b): texts that may be similar.  ``texts``: fp, s1, s2, sig; each fp once.  Each level is written, which keeps plans small."""
+    near, rate = reach(threshold), 1.6 / threshold
+    leave = min(leave, near)
+    ties, rows = None, _first_paths(texts, runs, rate)
     for level in range(1, depth + 1):
-        buckets = rows.groupBy("b").agg(F.count("*").alias("size"), F.min(F.struct("fp", "s")).alias("pivot")).where("size > 1")
-        met = rows.join(buckets, "b").withColumn("agree", F.lit(T) - F.bit_count(F.col("s").bitwiseXOR(F.col("pivot.s"))))
-        met = met.select("b", "fp", "s", "used", "size", "agree", F.col("pivot.fp").alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
-        large = met.where(f"size > {LIMIT}").groupBy("b").agg(F.sum((F.col("agree") < NEAR).cast("int")).alias("far"))
-        new = met.where(f"fp != p and agree >= {NEAR}").select(F.col("fp").alias("a"), F.col("p").alias("b"))
-        new = new.unionByName(_brute(met.where(f"size <= {LIMIT} and agree < {SAME}"))).unionByName(_bridges(met, large.where(f"far <= {FAR}")))
-        hard = met.where(f"size > {LIMIT} and agree < {SAME}").join(large.where(f"far > {FAR}").select("b"), "b", "left_semi")
-        if level == depth:
-            new = new.unionByName(hard.where("fp != p").select(F.col("fp").alias("a"), F.col("p").alias("b")))
+        pivot = F.min(F.struct(F.xxhash64("fp", "b").alias("o"), "fp", "s1", "s2")).alias("pivot")
+        buckets = rows.groupBy("b").agg(F.count("*").alias("size"), pivot).where("size > 1")
+        apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("pivot.s1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("pivot.s2"))))
+        met = rows.join(buckets, "b").select(*[F.col(c) for c in _ROW], "size", apart.alias("r"), F.col("pivot.fp").alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
+        small, large = met.where(f"size <= {limit}"), met.where(f"size > {limit}").drop("size")
+        stays = (F.col("r") > leave).cast("int")
+        counts = large.groupBy("b").agg(F.sum(stays).alias("stay"), F.sum(((F.col("fp") != F.col("p")) & (F.col("r") <= leave)).cast("int")).alias("gone"), F.max(F.when(F.col("r") <= leave, F.col("r"))).alias("farthest"))
+        large = large.join(counts, "b")
+        rest = large.where(f"r > {leave}")
+        new = large.where(f"fp != p and r <= {near}").select(F.col("fp").alias("a"), F.col("p").alias("b"))
+        new = new.unionByName(_bridges(large.where("gone > 0 and farthest > 0"), near, leave, leavers))
+        new = new.unionByName(_brute(small.select("b", "fp", "s1", "s2").unionByName(rest.where(f"stay <= {limit}").select("b", "fp", "s1", "s2")), limit, near))
+        last = level == depth
+        new = new.unionByName(_in_blocks(rest.where(f"stay > {limit}" if last else f"stay > {limit} and stay <= {split}"), near, part))
         new = written(new.distinct(), "ties")
         ties = new if ties is None else ties.unionByName(new)
-        hard = written(hard, "hard") if level < depth else hard.limit(0)
+        hard = rest.limit(0) if last else written(rest.where(f"stay > {split}").select(*_ROW), "hard")
         met.unpersist()
         if level > 1:
             rows.unpersist()
-        if level == depth or hard.isEmpty():
+        if last or hard.isEmpty():
             break
-        rows = _next_paths(hard, texts).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
+        rows = _next_paths(hard, texts, rate).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
     return ties
 
 
@@ -289,12 +384,13 @@ def _root(parent: list[int], x: int) -> int:
 def _compare(rows: DataFrame, threshold: float) -> DataFrame:
     """rows: g, i, j, side, fp, copies, set, sorted by (g, i, j).  One row per text and block pair: links, least text tied to it."""
 
-    def block(side, fp, copies, sets):
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    def block(same, side, fp, copies, sets):
+        one = np.flatnonzero(side == 0)
+        two = one if same else np.flatnonzero(side == 1)
         links, parent = np.zeros(len(fp), np.int64), list(range(len(fp)))
-        for i, found in similar(sets, threshold, one, two if len(two) else one):
+        for i, found in similar(sets, threshold, one, two) if len(one) and len(two) else ():
             links[i] += copies[found].sum()
-            if len(two):
+            if not same:
                 links[found] += copies[i]
             for j in found.tolist():
                 x, y = _root(parent, i), _root(parent, j)
@@ -309,7 +405,7 @@ def _compare(rows: DataFrame, threshold: float) -> DataFrame:
 
         def done():
             side, fp, copies = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
-            return block(side, fp, copies, [h[3] for h in held])
+            return block(key[1] == key[2], side, fp, copies, [h[3] for h in held])
 
         for b in batches:
             g, i, j, side, fp, copies = (b.column(k).to_pylist() for k in range(6))
@@ -331,8 +427,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                p = batch.slice(at, SLICE_ROWS)
+            for p in slices(batch, 4):
                 fp, sets = p.column(2).to_pylist(), shingle_sets(p.column(4))
                 keep = [k for k, s in enumerate(sets) if fingerprint(s) == fp[k]]
                 t = p.take(pa.array(keep, pa.int64()))
@@ -341,20 +436,23 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("g", "nb", "fp", "copies", "t").mapInArrow(run, "g long, nb int, fp long, copies long, set array<long>")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", shingles: int = BLOCK_SHINGLES, **search) -> DataFrame:
     """(id, class_id, n_links, is_first) of each row.
 
     A class is a connected component of documents linked at ``threshold`` or more; ``class_id`` is
     its least id.  ``n_links`` counts the other documents at the threshold or above, copies
     included.  Null text counts as empty; documents without words are copies of one another.  Rows
-    with one id are documents of their own; a null id comes after all others.
+    with one id are documents of their own; a null id comes after all others.  An empty table gives
+    an empty result; texts of any length are compared whole; columns other than the two are not read,
+    so they may have any name.  ``search``: limits of ``candidate_ties``.
     """
     rows = written(described(docs, id_col, text_col), "described")
-    texts = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("n").alias("n"), F.first("s").alias("s"), F.first("sig").alias("sig")), "texts")
-    groups = components(candidate_ties(texts.where("n > 0"), runs, depth))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "root").join(texts.select(F.col("fp").alias("v"), "copies", "rep"), "v")
-    members = members.select(F.col("root").alias("g"), F.ceil(F.col("size") / block).cast("int").alias("nb"), F.col("v").alias("fp"), "copies", "rep")
+    one = [F.first(c).alias(c) for c in ("n", "s1", "s2", "sig")]
+    texts = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), *one), "texts")
+    groups = components(candidate_ties(texts.where("n > 0"), threshold, runs, depth, **search))
+    members = groups.join(texts.select(F.col("fp").alias("v"), "copies", "rep", "n"), "v")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.least(F.count("*"), F.ceil(F.sum("n") / shingles))).cast("int").alias("nb"))
+    members = members.join(sizes, "root").select(F.col("root").alias("g"), "nb", F.col("v").alias("fp"), "copies", "rep")
     whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
     # never broadcast: which texts have partners grows with the input
     sets = _sets(whole.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))))

@@ -7,12 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Python step holds at a time; long texts make a row large.
-SLICE_ROWS = 512
+#: Rows, and bytes of text, that one Python step holds at a time; a single larger text is a step of its own.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,8 +55,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and ``most`` bytes of its string or binary ``column``, one row at least."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, min(rows, int(np.searchsorted(size, size[at] + most, side="right")) - 1 - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def arrow_rows(df: DataFrame, make: Callable[[], Callable[[list], list[dict] | dict]], schema: str, *inputs: str) -> DataFrame:
-    """``mapInArrow`` in slices of at most SLICE_ROWS rows.
+    """``mapInArrow`` in slices of the last input's text (see ``slices``).
 
     ``make()`` runs once per task and returns ``f(columns) -> dict of output columns``.
     """
@@ -67,8 +79,7 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[list], list[dict] | d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, len(names) - 1):
                 got = f([part.column(i).to_pylist() for i in range(len(names))])
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in target], schema=target)
