@@ -37,7 +37,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import release, slices, written
 from .components import components, least_of_component
 
 N = 5
@@ -305,35 +305,40 @@ def _bridges(rows: DataFrame, near: int, leave: int, leavers: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _level(rows: DataFrame, near: int, leave: int, split: int, limit: int, part: int, leavers: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Ties of one level's buckets, and the rows to split on; both written."""
+    pivot = F.min(F.struct(F.xxhash64("fp", "b").alias("o"), "fp", "s1", "s2")).alias("pivot")
+    buckets = rows.groupBy("b").agg(F.count("*").alias("size"), pivot).where("size > 1")
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("pivot.s1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("pivot.s2"))))
+    met = rows.join(buckets, "b").select(*[F.col(c) for c in _ROW], "size", apart.alias("r"), F.col("pivot.fp").alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
+    small, large = met.where(f"size <= {limit}"), met.where(f"size > {limit}").drop("size")
+    left = (F.col("fp") != F.col("p")) & (F.col("r") <= leave)
+    counts = large.groupBy("b").agg(F.sum((F.col("r") > leave).cast("int")).alias("stay"), F.sum(left.cast("int")).alias("gone"), F.max(F.when(left, F.col("r"))).alias("farthest"))
+    large = large.join(counts, "b")
+    rest = large.where(f"r > {leave}")
+    swept = small.select("b", "fp", "s1", "s2").unionByName(rest.where(f"stay <= {limit}").select("b", "fp", "s1", "s2"))
+    blocks = rest.where(f"stay > {limit}" if last else f"stay > {limit} and stay <= {split}")
+    ties = large.where(f"fp != p and r <= {near}").select(F.col("fp").alias("a"), F.col("p").alias("b"))
+    ties = ties.unionByName(_bridges(large.where("farthest > 0"), near, leave, leavers)).unionByName(_brute(swept, limit, near)).unionByName(_in_blocks(blocks, near, part))
+    ties = written(ties.distinct(), "ties")
+    hard = rest.select(*_ROW).limit(0) if last else written(rest.where(f"stay > {split}").select(*_ROW), "hard")
+    met.unpersist()
+    return ties, hard
+
+
 def candidate_ties(texts: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, split: int = SPLIT, limit: int = LIMIT, leave: int = LEAVE, part: int = PART, leavers: int = LEAVERS) -> DataFrame:
     """(a, b): texts that may be similar.  ``texts``: fp, s1, s2, sig; each fp once.  Each level is written, which keeps plans small."""
     near, rate = reach(threshold), 1.6 / threshold
-    leave = min(leave, near)
     ties, rows = None, _first_paths(texts, runs, rate)
     for level in range(1, depth + 1):
-        pivot = F.min(F.struct(F.xxhash64("fp", "b").alias("o"), "fp", "s1", "s2")).alias("pivot")
-        buckets = rows.groupBy("b").agg(F.count("*").alias("size"), pivot).where("size > 1")
-        apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("pivot.s1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("pivot.s2"))))
-        met = rows.join(buckets, "b").select(*[F.col(c) for c in _ROW], "size", apart.alias("r"), F.col("pivot.fp").alias("p")).persist(StorageLevel.MEMORY_AND_DISK)
-        small, large = met.where(f"size <= {limit}"), met.where(f"size > {limit}").drop("size")
-        stays = (F.col("r") > leave).cast("int")
-        counts = large.groupBy("b").agg(F.sum(stays).alias("stay"), F.sum(((F.col("fp") != F.col("p")) & (F.col("r") <= leave)).cast("int")).alias("gone"), F.max(F.when(F.col("r") <= leave, F.col("r"))).alias("farthest"))
-        large = large.join(counts, "b")
-        rest = large.where(f"r > {leave}")
-        new = large.where(f"fp != p and r <= {near}").select(F.col("fp").alias("a"), F.col("p").alias("b"))
-        new = new.unionByName(_bridges(large.where("gone > 0 and farthest > 0"), near, leave, leavers))
-        new = new.unionByName(_brute(small.select("b", "fp", "s1", "s2").unionByName(rest.where(f"stay <= {limit}").select("b", "fp", "s1", "s2")), limit, near))
-        last = level == depth
-        new = new.unionByName(_in_blocks(rest.where(f"stay > {limit}" if last else f"stay > {limit} and stay <= {split}"), near, part))
-        new = written(new.distinct(), "ties")
+        new, hard = _level(rows, near, min(leave, near), split, limit, part, leavers, level == depth)
         ties = new if ties is None else ties.unionByName(new)
-        hard = rest.limit(0) if last else written(rest.where(f"stay > {split}").select(*_ROW), "hard")
-        met.unpersist()
         if level > 1:
             rows.unpersist()
-        if last or hard.isEmpty():
+        if level == depth or hard.isEmpty():
             break
         rows = _next_paths(hard, texts, rate).persist(StorageLevel.MEMORY_AND_DISK)  # read twice
+        release(texts.sparkSession)
     return ties
 
 
@@ -436,6 +441,23 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.select("g", "nb", "fp", "copies", "t").mapInArrow(run, "g long, nb int, fp long, copies long, set array<long>")
 
 
+def _found(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame, texts: DataFrame, threshold: float, block: int, shingles: int) -> DataFrame:
+    """(fp, links, root) of each text of the candidate groups (v, root) and each pair of blocks it is compared in; written."""
+    members = groups.join(texts.select(F.col("fp").alias("v"), "copies", "rep", "n"), "v")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.least(F.count("*"), F.ceil(F.sum("n") / shingles))).cast("int").alias("nb"))
+    members = members.join(sizes, "root").select(F.col("root").alias("g"), "nb", F.col("v").alias("fp"), "copies", "rep")
+    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    # never broadcast: which texts have partners grows with the input
+    sets = _sets(whole.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))))
+    sets = sets.dropDuplicates(["fp"])
+    own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
+    # text of block x goes to the pairs (x, y) and (y, x) of all blocks y
+    pairs = sets.withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pairs = pairs.withColumn("i", F.least("x", "y")).withColumn("j", F.greatest("x", "y")).withColumn("side", F.when((F.col("i") != F.col("j")) & (F.col("x") == F.col("j")), 1).otherwise(0))
+    dealt = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return written(_compare(dealt, threshold), "found")
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", shingles: int = BLOCK_SHINGLES, **search) -> DataFrame:
     """(id, class_id, n_links, is_first) of each row.
 
@@ -450,19 +472,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, depth:
     one = [F.first(c).alias(c) for c in ("n", "s1", "s2", "sig")]
     texts = written(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), *one), "texts")
     groups = components(candidate_ties(texts.where("n > 0"), threshold, runs, depth, **search))
-    members = groups.join(texts.select(F.col("fp").alias("v"), "copies", "rep", "n"), "v")
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.least(F.count("*"), F.ceil(F.sum("n") / shingles))).cast("int").alias("nb"))
-    members = members.join(sizes, "root").select(F.col("root").alias("g"), "nb", F.col("v").alias("fp"), "copies", "rep")
-    whole = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    # never broadcast: which texts have partners grows with the input
-    sets = _sets(whole.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep"))))
-    sets = sets.dropDuplicates(["fp"])
-    own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
-    # text of block x goes to the pairs (x, y) and (y, x) of all blocks y
-    pairs = sets.withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pairs = pairs.withColumn("i", F.least("x", "y")).withColumn("j", F.greatest("x", "y")).withColumn("side", F.when((F.col("i") != F.col("j")) & (F.col("x") == F.col("j")), 1).otherwise(0))
-    dealt = pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    found = written(_compare(dealt, threshold), "found")
+    release(docs.sparkSession)
+    found = _found(docs, id_col, text_col, groups, texts, threshold, block, shingles)
+    release(docs.sparkSession)
     links = found.groupBy("fp").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     named = texts.select("fp", "copies", "rep").join(links, "fp", "left").join(classes.withColumnRenamed("v", "fp"), "fp", "left")
