@@ -3,13 +3,16 @@
 Every piece of text belongs to a block and every block to a root-to-leaf path of block elements
 (with their first class).  Per path the length and punctuation of its text are added up; the ratio
 of both to the path's blocks tells prose from labels, links count against it, and the sequence of
-ratios is smoothed along the page.  It is fused with what the markup says outright: elements for
-menus and footers never hold content as long as there is other text; forms and what class or id
-mark as adverts, comments and the like don't either, unless they hold the page's content (see
-``_Page.left_out``); and paths below ``main`` or ``article`` share its best ratio.  Paths above a
-threshold are the content.  Without these elements the container is the lowest common ancestor of
-such paths, and the headings, lists, quotes and tables between or next to their blocks are content
-too.  Lists of links are content within an article.
+ratios is smoothed along the page.  Paths above a threshold are the content.
+
+It is fused with what the markup says outright.  Elements for menus and footers never hold content as
+long as there is other text; forms and what class or id mark as adverts, comments and the like don't
+either, unless they hold the page's content (see ``_Page.left_out``); what stands beside ``main`` or
+``article`` doesn't as long as these hold text.  Paragraphs, headings, lists, quotes and tables within
+``main`` or ``article`` are content; everything else there is what its ratio says.  Without these
+elements the container is the lowest common ancestor of the paths above the threshold, and the headings,
+lists, quotes and tables between or next to their blocks are content too.  Lists of links are content
+within an article.
 """
 
 from __future__ import annotations
@@ -302,15 +305,8 @@ class _Page:
         self.flush()
 
 
-def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
-    """Content blocks of a page in order; none for null or empty pages or pages without text."""
-    if not source:
-        return []
-    page = _Page(source)
-    out = page.left_out()
-    blocks = [b for b in page.blocks if not page.banned[b[0]] and not out[b[0]]] or [b for b in page.blocks if not page.banned[b[0]]] or page.blocks
-    if not blocks:
-        return []
+def ratios(blocks: list[tuple[int, str, int, int]]) -> tuple[dict[int, float], dict[int, float], set[int]]:
+    """Per path its ratio, the ratio smoothed along the page, and which paths are menus."""
     chars: dict[int, int] = {}
     marks: dict[int, int] = {}
     nodes: dict[int, int] = {}
@@ -330,18 +326,29 @@ def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
         fused[path] += x / nodes[path]
     for p in menu:
         fused[p] = 0.0
-    home = {p: page.container[p] for p in chars}
-    inferred = all(c < 0 for c in home.values())
-    shared: dict[int, float] = {}
-    for p, c in home.items():
-        if c >= 0:
-            shared[c] = max(shared.get(c, 0.0), fused[p])
-    for p, c in home.items():
-        if p not in menu and c >= 0:
-            fused[p] = max(fused[p], shared[c] * 2)
+    return ratio, fused, menu
+
+
+def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
+    """Content blocks of a page in order; none for null or empty pages or pages without text."""
+    if not source:
+        return []
+    page = _Page(source)
+    out = page.left_out()
+    blocks = [b for b in page.blocks if not page.banned[b[0]] and not out[b[0]]] or [b for b in page.blocks if not page.banned[b[0]]] or page.blocks
+    # the markup names where the article is; what of that is content the ratios say
+    within = [b for b in blocks if page.container[b[0]] >= 0]
+    blocks = within or blocks
+    if not blocks:
+        return []
+    ratio, fused, menu = ratios(blocks)
+    chars = dict.fromkeys(fused, 0)
+    for path, text, _, _ in blocks:
+        chars[path] += len(text)
     apart: set[int] = set()  # blocks of elements like the best path's parent that hold none of its blocks
-    if inferred:  # paths beside the best one share its ratio, except right in body
-        fused = {p: min(fused[p], ratio[p]) for p in chars}  # the neighbour of a long block isn't content by that
+    # the neighbour of a long block isn't content by that
+    fused = {p: min(fused[p], ratio[p]) for p in chars}
+    if not within:  # paths beside the best one share its ratio, except right in body
         best = max(chars, key=lambda p: (fused[p] * chars[p], -p))
         top = page.parent[best]
         if top > 0 and page.label[top] not in ("html", "body"):
@@ -356,13 +363,14 @@ def blocks_of(source: str | None, threshold: float = THRESHOLD) -> list[str]:
     kept = {p for p in chars if fused[p] > 0 and fused[p] >= need}
     if not kept:
         return []
-    if inferred:
+    if not within:
         return [blocks[k][1] for k in _between(page, blocks, kept, menu, apart)]
-    # lists of links within the article
+    # paragraphs, headings and the like of the article; lists of links where they are within it
+    flow = page.below([x in FLOW or x in HEADINGS or x == "table" for x in page.label])
     article, lists = page.below([x == "article" for x in page.label]), page.below([x in LISTS for x in page.label])
     alone = not any(article[p] for p in kept)
-    links = {p for p in menu if lists[p] and home[p] >= 0 and (article[p] or alone) and shared[home[p]] * 2 >= need}
-    return [text for path, text, _, _ in blocks if path in kept or path in links]
+    homes = {page.container[p] for p in kept}
+    return [text for path, text, _, _ in blocks if path in kept or flow[path] and page.container[path] in homes and (path not in menu or lists[path] and (article[path] or alone))]
 
 
 def _between(page: _Page, blocks: list[tuple[int, str, int, int]], kept: set[int], menu: set[int], apart: set[int]) -> list[int]:
@@ -406,7 +414,12 @@ def _between(page: _Page, blocks: list[tuple[int, str, int, int]], kept: set[int
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """(id, ``keep`` columns, text, n_chars) of each page; null html counts as empty."""
+    """(id, ``keep`` columns, text, n_chars) of each page.
+
+    Null html counts as empty, and empty pages and pages without text have empty text.  Pages are read
+    whole, however long; rows with one id, or one page, are pages of their own; other columns aren't read and
+    may have any name; an empty table gives an empty result.
+    """
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
     def make():

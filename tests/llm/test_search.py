@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from delimir.llm import tag_paths
 from delimir.llm.pruned_graph import build, lifted, search
 from delimir.llm.queries import op10_pruned_graph
 from delimir.llm.tag_paths import blocks_of, extract
@@ -146,6 +147,43 @@ def test_lists_of_links():
     assert blocks_of(f"{menu}{links}<p>{want[0]}</p>{links}<p>{want[1]}</p>{menu}") == [want[0], *want[2:], want[1]]
 
 
+FURNITURE = f'<article><h1>Title</h1><div class="tools">Print Mail</div><p>{long("one")}</p><div class="x">Rate it</div><div class="y">{long("two")}</div><section>Top</section><p>Short end</p><div class="tools">Print Mail</div></article>'
+
+
+def test_ratios_decide_within_an_article(monkeypatch):
+    want = ["Title", long("one"), long("two"), "Short end"]
+    assert blocks_of(FURNITURE) == want
+    assert blocks_of(FURNITURE, threshold=1e-9) == ["Title", "Print Mail", long("one"), "Rate it", long("two"), "Top", "Short end", "Print Mail"]
+    assert long("two") not in blocks_of(FURNITURE, threshold=3)
+    real = tag_paths.ratios
+
+    def constant(blocks):
+        _, _, menu = real(blocks)
+        same = dict.fromkeys((b[0] for b in blocks), 1.0)
+        return same, same, menu
+
+    monkeypatch.setattr(tag_paths, "ratios", constant)
+    assert blocks_of(FURNITURE) != want
+
+
+def test_ratios_decide_without_containers(spark, monkeypatch):
+    """The test pages with all their telling names and classes removed."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    plain = [re.sub(r' class="?[\w -]*"?', "", re.sub("<(/?)(?:article|nav|footer|header|aside)", r"<\1div", p)) for p in pages]
+    assert not any(re.search("<(article|nav|footer)| class=", p) for p in plain)
+
+    def right(threshold=tag_paths.THRESHOLD):
+        return sum(blocks_of(a, threshold) == blocks_of(b) for a, b in zip(plain, pages, strict=True)) / len(pages)
+
+    usual = right()
+    assert usual > 0.8 and right(1e-9) < 0.2
+    real = tag_paths.ratios
+    monkeypatch.setattr(tag_paths, "ratios", lambda blocks: (dict.fromkeys((b[0] for b in blocks), 1.0),) * 2 + (real(blocks)[2],))
+    assert sum(blocks_of(a) == w for a, w in zip(plain, [x for x in map(blocks_of, pages)], strict=True)) / len(pages) < usual
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "plain & text", "<p", "<a '" * 3000, "<div>" * 3000 + "x", "<b><p>" * 3000, "<script>", "<!--", "</p>" * 3000, "<p>" + "word " * 200000])
 def test_damaged_pages(page):
     assert isinstance(blocks_of(page), list)
