@@ -4,7 +4,8 @@ Spark counts words, then pairs; the model lies in the shared folder as sorted ar
 map into memory:
 
 * words: sorted 64-bit hashes; a word's id is its rank, so ids are dense and in hash order;
-* pairs: sorted numbers (first id, second id) with counts, in shards;
+* pairs: sorted numbers (place of the first word in its shard, second id) with counts, in shards; counts
+  beyond 32 bits have a table of their own;
 * per word: count, how many words precede it (a), and how many follow it once, twice, more often.
 
 Pairs travel between tasks as sorted, difference-coded, compressed columns, a few bytes each.
@@ -22,7 +23,8 @@ distinct words, three-word arrays alone exceed four times the input (see README)
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +38,8 @@ from .common import remainder, shared_path
 
 #: Words, and pairs, of a shard; a task holds one shard at a time.
 WORD_SHARD, PAIR_SHARD = 2_000_000, 3_000_000
+#: Arrays that a worker keeps mapped, and bytes of those that it had to read instead.
+MAPPED, READ_BYTES = 4096, 256 << 20
 #: Pairs that a counting task gathers before it sends them.
 HELD = 1_500_000
 ROWS, CHARS = 4096, 4 << 20
@@ -65,25 +69,33 @@ def save(path: str, array: np.ndarray) -> None:
             f.write(array.tobytes())
 
 
-_OPEN: dict[tuple[str, str], np.ndarray] = {}
+_OPEN: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
 
 
 def load(path: str, kind: str) -> np.ndarray:
-    """A stored array; mapped into memory where the shared folder is mounted.  Absent means empty."""
-    if (path, kind) not in _OPEN:
-        local = _local(path)
-        if local is not None:
-            got = np.memmap(local, kind, "r") if os.path.exists(local) and os.path.getsize(local) else np.zeros(0, kind)
-        else:
-            from pyarrow.fs import FileSystem, FileType
-
-            fs, p = FileSystem.from_uri(path)
-            got = np.zeros(0, kind)
-            if fs.get_file_info(p).type == FileType.File:
-                with fs.open_input_stream(p) as f:
-                    got = np.frombuffer(f.read(), kind)
-        _OPEN[path, kind] = got
-    return _OPEN[path, kind]
+    """A stored array; mapped into memory where the shared folder is mounted.  Absent means empty.
+
+    The arrays used last are kept, MAPPED of them and READ_BYTES of those that were read, so neither maps nor memory grow with the model.
+    """
+    key = (path, kind)
+    if key in _OPEN:
+        _OPEN.move_to_end(key)
+        return _OPEN[key]
+    local = _local(path)
+    if local is not None:
+        got = np.memmap(local, kind, "r") if os.path.exists(local) and os.path.getsize(local) else np.zeros(0, kind)
+    else:
+        from pyarrow.fs import FileSystem, FileType
+
+        fs, p = FileSystem.from_uri(path)
+        got = np.zeros(0, kind)
+        if fs.get_file_info(p).type == FileType.File:
+            with fs.open_input_stream(p) as f:
+                got = np.frombuffer(f.read(), kind)
+    _OPEN[key] = got
+    while len(_OPEN) > MAPPED or len(_OPEN) > 1 and sum(x.nbytes for x in _OPEN.values() if not isinstance(x, np.memmap)) > READ_BYTES:
+        _OPEN.popitem(last=False)
+    return got
 
 
 # -- compressed columns -------------------------------------------------------------------------
@@ -114,13 +126,14 @@ def expand(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Parts of (keys, values...) as one: keys sorted and distinct, values added up."""
+def summed(parts: list[list[np.ndarray]], keys: int = 1) -> list[np.ndarray]:
+    """Parts of (keys..., values...) as one: the first ``keys`` columns sorted and distinct, values added up."""
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    order = np.argsort(cols[0], kind="stable")
-    keys = cols[0][order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return [keys[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in cols[1:])]
+    order = np.argsort(cols[0], kind="stable") if keys == 1 else np.lexsort(cols[keys - 1 :: -1])
+    by = [c[order] for c in cols[:keys]]
+    new = np.logical_or.reduce([k[1:] != k[:-1] for k in by])
+    first = np.flatnonzero(np.concatenate([[True], new])) if len(order) else np.zeros(0, np.int64)
+    return [*(k[first] for k in by), *(np.add.reduceat(v[order], first) if len(first) else v for v in cols[keys:])]
 
 
 # -- tokens -------------------------------------------------------------------------------------
@@ -184,6 +197,18 @@ class Model:
     high: tuple[float, ...] = (0.0, 0.0, 0.0)
     low: tuple[float, ...] = (0.0, 0.0, 0.0)
     classes: tuple[int, ...] = (0, 0, 0)
+    #: Counts from here on are kept apart from the 32-bit ones.
+    most: int = (1 << 32) - 1
+
+    @property
+    def bits(self) -> int:
+        """Bits of a second word in a key."""
+        return max(1, (self.words - 1).bit_length())
+
+    @property
+    def range(self) -> int:
+        """More than the first words of any shard's range."""
+        return -(-self.words // self.pair_shards) + 1
 
     def array(self, name: str, shard: int, kind: str) -> np.ndarray:
         return load(f"{self.path}/{name}-{shard}", kind)
@@ -200,7 +225,7 @@ class Model:
                 out[rows] = np.where(have[at] == hashes[rows], at + self.bases[s], -1)
         return out
 
-    def of_words(self, name: str, ids: np.ndarray, kind: str = "u4") -> np.ndarray:
+    def of_words(self, name: str, ids: np.ndarray, kind: str = "u8") -> np.ndarray:
         """Values of words by id; 0 for id -1."""
         out = np.zeros(len(ids), np.int64)
         shard = np.searchsorted(self.bases, ids, side="right") - 1
@@ -213,27 +238,56 @@ class Model:
                 out[rows[ok]] = have[at[ok]]
         return out
 
-    def pair_shard(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """A range of first words each; words too frequent for one shard are spread by their second word."""
-        parts = -(-4 * self.of_words("c", first, "u8") // self.pair_size)
-        spread = parts > 1
+    def frequent(self) -> np.ndarray:
+        """Ids of the words that are spread over several shards, sorted."""
+        return load(f"{self.path}/frequent", "i8")
+
+    def spread(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are spread, and their places among these."""
+        f = self.frequent()
+        at = np.minimum(np.searchsorted(f, first), max(0, len(f) - 1))
+        return (f[at] == first if len(f) else np.zeros(len(first), bool)), at
+
+    def start(self, shard):
+        """The first word of a shard's range."""
+        return -(-shard * self.words // self.pair_shards)
+
+    def pair_keys(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shards and keys of pairs.  A shard has a range of first words; those too frequent for one are spread by their second word."""
         shard = first * self.pair_shards // max(1, self.words)
-        if spread.any():
-            f, k = first[spread].astype(np.uint64), _mix(second[spread].astype(np.uint64)) % parts[spread].astype(np.uint64)
-            shard[spread] = (_mix(_mix(f) + k) % _U(self.pair_shards)).astype(np.int64)
-        return shard
+        place = first - self.start(shard)
+        often, at = self.spread(first)
+        if often.any():
+            f = first[often]
+            parts = -(-4 * self.of_words("c", f, "u8") // self.pair_size)
+            k = _mix(second[often].astype(np.uint64)) % parts.astype(np.uint64)
+            shard[often] = (_mix(_mix(f.astype(np.uint64)) + k) % _U(self.pair_shards)).astype(np.int64)
+            place[often] = self.range + at[often]
+        return shard, place.astype(np.uint64) << _U(self.bits) | second.astype(np.uint64)
+
+    def pair_ids(self, shard: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second words of a shard's keys."""
+        place = (key >> _U(self.bits)).astype(np.int64)
+        often = place >= self.range
+        first = place + self.start(shard)
+        if often.any():
+            first[often] = self.frequent()[place[often] - self.range]
+        return first, (key & _U((1 << self.bits) - 1)).astype(np.int64)
 
     def pair_counts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Counts of known pairs; ids of at least 0."""
         out = np.zeros(len(first), np.int64)
-        key = first.astype(np.uint64) << _U(32) | second.astype(np.uint64)
-        shard = self.pair_shard(first, second)
+        shard, key = self.pair_keys(first, second)
         order = np.lexsort((key, shard))
         for s, rows in runs(shard, order):
             have = self.array("p", s, "u8")
             if len(have):
                 at = np.minimum(np.searchsorted(have, key[rows]), len(have) - 1)
-                out[rows] = np.where(have[at] == key[rows], self.array("n", s, "u4")[at], 0)
+                n = np.where(have[at] == key[rows], self.array("n", s, "u4")[at], 0).astype(np.int64)
+                if (n == self.most).any():
+                    large, of = self.array("lk", s, "u8"), np.flatnonzero(n == self.most)
+                    n[of] = self.array("ln", s, "u8")[np.searchsorted(large, key[rows][of])]
+                out[rows] = n
         return out
 
 
@@ -291,8 +345,11 @@ def _class(c: np.ndarray, d: tuple[float, ...]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
-def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD, pair_size: int = PAIR_SHARD, held_pairs: int = HELD) -> Model:
-    """Count all given texts (null: empty).  An empty table gives a model that knows no word."""
+def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD, pair_size: int = PAIR_SHARD, held_pairs: int = HELD, most: int = Model.most) -> Model:
+    """Count all given texts (null: empty).  An empty table gives a model that knows no word.
+
+    Counts from ``most`` on are kept apart.  Rows with one text count each; texts are read whole, those of any length.
+    """
     spark = docs.sparkSession
     path = shared_path(spark, "kneser-ney")
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
@@ -323,9 +380,6 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
     n = known.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     words, total = int(n[0]), int(n[1])
     ws, ps = max(1, -(-words // word_size)), max(1, -(-total // pair_size))
-    if words >= 1 << 32:
-        raise ValueError("more than 2**32 distinct words")
-
     # words: sorted hashes and counts, a file a shard
     def with_shard(batches):
         for b in batches:
@@ -336,16 +390,23 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
         for s, rows in each_shard(batches):
             w, c = (np.concatenate([b.column(i).to_numpy() for b in rows]).view(np.uint64) for i in (1, 2))
             order = np.argsort(w)
-            save(f"{path}/w-{s}", w[order])
-            save(f"{path}/c-{s}", c[order])
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([len(w)])], names=["shard", "n"])
-
-    sizes = {r["shard"]: r["n"] for r in by_shard(known.mapInArrow(with_shard, "shard long, w long, c long"), ws).mapInArrow(store_words, "shard long, n long").collect()}
+            w, c = w[order], c[order]
+            save(f"{path}/w-{s}", w)
+            save(f"{path}/c-{s}", c)
+            often = np.flatnonzero(4 * c > _U(pair_size))  # at most 4 / pair_size of all tokens
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([len(w)]), pa.array([often.astype(np.int64)], pa.list_(pa.int64()))], names=["shard", "n", "often"])
+
+    stored = sorted(by_shard(known.mapInArrow(with_shard, "shard long, w long, c long"), ws).mapInArrow(store_words, "shard long, n long, often array<long>").collect())
+    sizes = {r["shard"]: r["n"] for r in stored}
     known.unpersist()
     bases = np.concatenate([[0], np.cumsum([sizes.get(s, 0) for s in range(ws)])])[:-1].tolist()
-    model = Model(path, total, words, ws, bases, ps, pair_size)
+    model = Model(path, total, words, ws, bases, ps, pair_size, most=most)
     if not words:
         return model
+    often = np.array([bases[r["shard"]] + k for r in stored for k in r["often"]], np.int64)
+    save(f"{path}/frequent", often)
+    if model.bits + (model.range + len(often)).bit_length() > 64:
+        raise ValueError("keys of pairs have more than 64 bits")
 
     # pairs: counted per task, sent by shard
     def count_pairs(batches):
@@ -353,17 +414,18 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
         end = int(m.ids(np.array([END], np.uint64))[0])
 
         def out():
-            key, n = summed(held)
-            shard = m.pair_shard((key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64))
-            got = [(s, squeeze(key[r], n[r])) for s, r in runs(shard, np.argsort(shard, kind="stable"))]
+            shard, key, n = summed(held, keys=2)
+            got = [(s, squeeze(key[r], n[r])) for s, r in runs(shard, np.arange(len(shard)))]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["shard", "blob"])
 
         for b in batches:
             for t in slices(b.column(0)):
                 w, index, counts = tokens(t)
-                y, z = framed(m.ids(hashed(w))[index], counts, end)
-                key, n = np.unique(y.astype(np.uint64) << _U(32) | z.astype(np.uint64), return_counts=True)
-                held.append([key, n.astype(np.uint64)])
+                ids = np.append(m.ids(hashed(w)), end)
+                y, z = framed(index, counts, len(w))  # numbers within this slice
+                both, n = np.unique(y * len(ids) + z, return_counts=True)
+                shard, key = m.pair_keys(ids[both // len(ids)], ids[both % len(ids)])
+                held.append([shard, key, n.astype(np.uint64)])
                 size += len(key)
                 if size > held_pairs:
                     yield out()
@@ -376,11 +438,16 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
         for s, rows in each_shard(batches):
             key, n = summed([expand(x.as_py()) for b in rows for x in b.column(1)])
             save(f"{path}/p-{s}", key)
-            save(f"{path}/n-{s}", n.astype("u4"))
+            large = n >= _U(most)
+            save(f"{path}/n-{s}", np.minimum(n, _U(most)).astype("u4"))
+            if large.any():
+                save(f"{path}/lk-{s}", key[large])
+                save(f"{path}/ln-{s}", n[large])
             t = [int((n == k).sum()) for k in (1, 2, 3, 4)]
             one = np.ones(len(n), np.uint64)
-            first = summed([[key >> _U(32), *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64)]])
-            second = summed([[key & _U(0xFFFFFFFF), one]])
+            y, z = (x.astype(np.uint64) for x in model.pair_ids(s, key))
+            first = summed([[y, *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64)]])
+            second = summed([[z, one]])
             sent = []
             for kind, cols in enumerate((first, second)):
                 at = np.searchsorted(bases, cols[0].astype(np.int64), side="right") - 1
@@ -391,18 +458,18 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
     def store_stats(batches):
         t = np.zeros(4, np.int64)
         for s, rows in each_shard(batches):
-            out = {k: np.zeros(sizes[s], np.uint32) for k in ("a", "f1", "f2", "f3")}
+            out = {k: np.zeros(sizes[s], np.uint64) for k in ("a", "f1", "f2", "f3")}
             for kind, blob, *ts in (r for b in rows for r in zip(*(b.column(i) for i in range(1, 7)), strict=True)):
                 kind = kind.as_py()
                 t += [x.as_py() for x in ts]
                 cols = expand(blob.as_py())
                 at = cols[0].astype(np.int64) - bases[s]
                 for k, v in zip(("f1", "f2", "f3") if kind == 0 else ("a",), cols[1:], strict=True):
-                    out[k][at] += v.astype(np.uint32)
+                    out[k][at] += v
             for k, v in out.items():
                 save(f"{path}/{k}-{s}", v)
             a = out["a"]
-            m = [int((a == k).sum()) for k in (1, 2, 3, 4)] + [int((a > 2).sum()), int(a.sum(dtype=np.int64))]
+            m = [int((a == k).sum()) for k in (1, 2, 3, 4)] + [int((a > 2).sum()), int(a.sum())]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in [*t.tolist(), *m]], names=[*"tuvw", *"abcd", "more", "sum"])
             t[:] = 0
 
@@ -441,10 +508,10 @@ class Scorer:
         p = low[back]
         known = np.flatnonzero((y >= 0))
         if len(known):
-            key, kb = np.unique((y[known].astype(np.uint64) << _U(32)) | np.maximum(z[known], 0).astype(np.uint64), return_inverse=True)
-            n = m.pair_counts((key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64))
-            n = np.where(z[known] >= 0, n[kb], 0)
             ctx, cb = np.unique(y[known], return_inverse=True)
+            pair, pb = np.unique(cb * len(some) + back[known], return_inverse=True)  # numbers within this slice
+            a, b = ctx[pair // len(some)], some[pair % len(some)]
+            n = np.where(b >= 0, m.pair_counts(a, np.maximum(b, 0)), 0)[pb]
             cy = m.of_words("c", ctx, "u8").astype(float)
             g = sum(d * m.of_words(f, ctx) for d, f in zip(m.high, ("f1", "f2", "f3"), strict=True)) / cy
             p[known] = (n - _class(n, m.high)) / cy[cb] + g[cb] * p[known]

@@ -99,7 +99,7 @@ def reference(train, texts):
     return out, probability
 
 
-@pytest.mark.parametrize("sizes", [{}, {"word_size": 7, "pair_size": 9, "held_pairs": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"word_size": 7, "pair_size": 9, "held_pairs": 20}, {"most": 3, "pair_size": 40}, {"most": 2, "pair_size": 5, "word_size": 3, "held_pairs": 7}])
 def test_language_model(spark, sizes):
     train = ["the cat sat on the mat", "The dog sat on the cat", "a b c", None, "", "the the the the", "x\x1cy  z w\tq\x0br"] * 2 + ["new words here and the cat"] * 3
     texts = [*train, "unknown words the cat", "\n", "mat dog never"]
@@ -113,6 +113,31 @@ def test_language_model(spark, sizes):
         assert (r.base_score, r.score) == (pytest.approx(w[3]), pytest.approx(w[4]))
 
 
+def test_language_model_of_a_long_text(spark, monkeypatch):
+    """Tens of MB in one text, few arrays kept open; repeated rows count each."""
+    monkeypatch.setattr(kn, "MAPPED", 3)
+    unit = "one two three two one four "
+    train = [unit * 500_000, "x y", "x y", unit]
+    m = kn.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(2), word_size=3, pair_size=400_000)
+    want, _ = reference(train[1:], [])
+    rows = kn.score(spark.createDataFrame([(1, train[0]), (2, "x y"), (2, "x y")], "doc_id long, text string"), m).orderBy("doc_id").collect()
+    assert rows[0].n_tokens == rows[0].n_known == 3_000_001 and rows[0].train_tokens == 3_000_001 + 3 + 3 + 7
+    counts = {"one": 1_000_002, "two": 1_000_002, "three": 500_001, "four": 500_001, "x": 2, "y": 2, "END": 4}
+    base = sum(k * math.log10((counts[w] + 0.1) / (rows[0].train_tokens + 0.1 * 8)) for w, k in (("one", 1_000_000), ("two", 1_000_000), ("three", 500_000), ("four", 500_000), ("END", 1)))
+    assert rows[0].base_score == pytest.approx(base) and rows[1] == rows[2]
+
+
+def test_ids_beyond_32_bits():
+    m = kn.Model("/nowhere", 10**13, (1 << 36) + 5, 1, [0], 1 << 22)
+    first = np.array([0, 1, 1 << 35, (1 << 36) + 4, 123456789012 % (1 << 36)], np.int64)
+    second = np.array([(1 << 36) + 4, 0, 7, 1 << 33, 5], np.int64)
+    shard, key = m.pair_keys(first, second)
+    for k in range(len(first)):
+        a, b = m.pair_ids(int(shard[k]), key[k : k + 1])
+        assert (a[0], b[0]) == (first[k], second[k])
+    assert (0 <= shard).all() and (shard < 1 << 22).all()
+
+
 def test_language_model_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     m = kn.train(empty)
