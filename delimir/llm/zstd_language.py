@@ -1,8 +1,9 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary made of training text.  A text is encoded in
-chunks, in lower case, with every dictionary; the language whose sizes sum to least is chosen.  Where the margin to
-the second is narrow the row is marked ``rejected``.
+Each language has a zstandard raw-content dictionary: its commonest words, counted over all training
+texts, the commonest last, where matches are cheapest.  A text is encoded in chunks, in lower case, with
+every dictionary; the language whose sizes sum to least is chosen.  Where the margin to the second is
+narrow the row is marked ``rejected``.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, remainder
+from .common import arrow_rows, remainder, slices
 
-#: Bounds of the training sample: passages per language and characters per passage.
-PASSAGES = 128
-PASSAGE_CHARS = 1024
+#: Words of a dictionary, and letters of a word that may be one: what a model may weigh.
+WORDS, LETTERS = 2048, 40
 CHUNK = 2048
 #: Lazy matching from four bytes on: languages differ in short strings, which fast levels skip.
 SEARCH = {"min_match": 4, "hash_log": 16, "chain_log": 16, "search_log": 4, "window_log": 18, "target_length": 16}
@@ -26,30 +26,22 @@ MARGIN = 0.004
 SHARPNESS = 40.0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> dict[str, bytes]:
-    """Dictionaries by language, the commonest first, from at most ``passages`` distinct texts each, chosen by hash.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", words: int = WORDS) -> dict[str, bytes]:
+    """Dictionaries by language, that of most texts first.
 
-    A passage is ``chars`` characters from a hashed place in its text.  Rows with null text or
-    language teach nothing.  The driver receives passages * languages short strings.
+    Words are runs of letters, counted over whole texts; those as common as each other go by the alphabet.
+    Rows with null text or language, and texts without letters, teach nothing; rows with one text count each.
+    An empty table gives no dictionary.  The driver receives ``words`` short words a language.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null and length(t) > 0").where(remainder("i", 4) != 2)
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
-    h = F.xxhash64("t")
-    share = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(1.0, 8 * passages / n))])
-    near = rows.withColumn("h", h).where((F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))) < F.try_element_at(share, "l"))
-    start = F.lit(1) + F.pmod(F.shiftrightunsigned("h", 7), F.greatest(F.length("t") - chars, F.lit(1)))
-    near = near.select("l", "h", F.substring("t", start.cast("int"), F.lit(chars)).alias("p")).groupBy("l", "h").agg(F.min("p").alias("p"))
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= passages)
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l")).where("t is not null and l is not null").where(F.coalesce(remainder("i", 4) != 2, F.lit(True)))
+    texts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    each = rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, LETTERS))
+    counts = each.groupBy("l", "w").agg(F.count("*").alias("n"))
+    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.col("n").desc(), "w"))).where(F.col("r") <= words)
     found: dict[str, list[str]] = {}
-    for r in sorted(first.collect(), key=lambda r: (r["l"], r["r"])):
-        found.setdefault(r["l"], []).append(r["p"])
-    # a language none of whose hashes fell under its share learns from its smallest one
-    for l in counts.keys() - found.keys():
-        r = rows.where(F.col("l") == l).select(F.substring("t", 1, chars).alias("p"), h.alias("h")).orderBy("h", "p").first()
-        found[l] = [r["p"]]
-    return {l: "\n".join(found[l]).lower().encode() for l in sorted(found, key=lambda l: (-counts[l], l))}
+    for r in sorted(best.select("l", "r", "w").collect(), key=lambda r: -r["r"]):
+        found.setdefault(r["l"], []).append(r["w"])
+    return {l: f" {' '.join(found[l])} ".encode() for l in sorted(found, key=lambda l: (-texts[l], l))}
 
 
 class Scorer:
@@ -84,7 +76,9 @@ class Scorer:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) of each row.
 
-    Null text, text without a letter, or a model without languages: ``und``, 0, rejected.
+    Null text, text without a letter, or a model without languages: ``und``, 0, rejected.  Sizes that are
+    equal go to the language of most texts.  Texts are read whole, however long; rows with one id, or one
+    text, get a row each; other columns aren't read and may have any name; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -108,7 +102,8 @@ def keep(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN
         import pyarrow as pa
 
         s = Scorer(dictionaries)
-        for b in batches:
-            yield b.filter(pa.array([not s.predict(t.as_py(), margin)[2] for t in b.column(at)], pa.bool_()))
+        for whole in batches:
+            for b in slices(whole, at):
+                yield b.filter(pa.array([not s.predict(t.as_py(), margin)[2] for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,6 +21,47 @@ def test_language_on_held_out_rows(spark):
     assert r.a > 0.98 and r.r < 0.02
 
 
+def test_language_is_brute_force(spark):
+    """Dictionaries by counting in Python, sizes by plain calls of the compressor."""
+    import re
+
+    import zstandard
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts, texts = {}, Counter()
+    for r in rows:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            texts[r.lang] += 1
+            counts.setdefault(r.lang, Counter()).update(w for w in re.findall(r"[^\W\d_]+", r.text.lower()) if len(w) <= 40)
+    model = zl.fit(spark.createDataFrame(rows).repartition(3))
+    assert {l: v.decode().split() for l, v in model.items()} == {l: [w for w, _ in sorted(counts[l].items(), key=lambda x: (-x[1], x[0]))[:2048]][::-1] for l in counts}
+    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_dict_id=False, **zl.SEARCH)
+    got = {r.doc_id: r for r in op7_zstd_language(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        raw, sizes = r.text.lower().encode(), {}
+        for l, v in model.items():
+            d = zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            sizes[l] = sum(len(zstandard.ZstdCompressor(compression_params=params, dict_data=d).compress(raw[k : k + zl.CHUNK])) for k in range(0, len(raw), zl.CHUNK))
+        best = min(sizes.values())
+        order = sorted(texts, key=lambda l: (-texts[l], l))
+        assert got[r.doc_id].lang_pred == next(l for l in order if sizes[l] == best)
+
+
+def test_language_of_long_and_repeated_texts(spark):
+    de, en = "der die und das haus ", "the of and house "
+    df = spark.createDataFrame([(1, de * 9, "de"), (4, en * 9, "en"), (5, en * 1_000_000, "en"), (5, en * 9, "en"), (7, None, "en")], "doc_id long, text string, lang string").selectExpr("*", "1 as l", "2 as t", "3 as rejected")
+    model = zl.fit(df)
+    got = zl.identify(df, model).collect()
+    assert sorted((r.doc_id, r.lang_pred) for r in got) == [(1, "de"), (4, "en"), (5, "en"), (5, "en"), (7, "und")]
+    kept = zl.keep(df, model)
+    assert kept.columns == df.columns and kept.count() == 4 and zl.keep(df.limit(0), model).count() == 0
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 34!", "en"), (4, "the of and the house " * 9, "en"), (5, "der die und das haus " * 9, "de"), (6, "the of and " * 5000, None), (7, "x", None)], "doc_id long, text string, lang string").selectExpr("*", "1 as score")
     model = zl.fit(df)
