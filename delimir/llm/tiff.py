@@ -28,6 +28,9 @@ FIELD = {1: (1, "B"), 2: (1, "B"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 7: (1,
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CLEAR, END, FIRST = 256, 257, 258
 
+#: Bytes that one stored byte becomes at most: an LZW code of 12 bits stands for fewer than 4096 bytes, deflate reaches 1032, PackBits 64.
+EXPANSION = 4096
+
 UNIT = 64
 PAGE_ROWS = 1024
 STRIP = 128
@@ -261,8 +264,15 @@ def _expand(block: bytes, compression: int, size: int) -> bytes:
     raise ValueError(f"compression {compression} is not supported")
 
 
+def _whole(values: tuple) -> tuple[int, ...]:
+    """The values of a tag that counts something."""
+    if not values or not all(isinstance(v, int) for v in values):
+        raise ValueError("a tag isn't a whole number")
+    return values
+
+
 def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF in directory order."""
+    """The pages of a TIFF in directory order.  Whatever is damaged or unsupported raises ValueError, before memory is taken for it."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -274,16 +284,23 @@ def pages(data: bytes) -> Iterator[Page]:
                 raise ValueError("directories form a loop")
             seen.add(at)
             d, nxt = _directory(data, order, at)
-            one = lambda tag, default=None: d.get(tag, (default,))[0]  # noqa: B023, E731
+            one = lambda tag, default=None: _whole(d.get(tag, (default,)))[0]  # noqa: B023, E731
             width, height, samples, bits = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS, 1)
             compression, predictor = one(COMPRESSION, 1), one(PREDICTOR, 1)
-            if bits not in (8, 16) or one(PLANAR, 1) != 1 or predictor not in (1, 2) or not width or not height:
+            if bits not in (8, 16) or one(PLANAR, 1) != 1 or predictor not in (1, 2) or not width or not height or not samples:
                 raise ValueError("unsupported page layout")
             kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
             tiled = TILE_AT in d
             bw, bh = (one(TILE_W), one(TILE_L)) if tiled else (width, min(one(STRIP_ROWS, height), height))
-            starts, sizes = (d[TILE_AT], d[TILE_BYTES]) if tiled else (d[STRIP_AT], d[STRIP_BYTES])
-            across = math.ceil(width / bw)
+            starts, sizes = map(_whole, (d[TILE_AT], d[TILE_BYTES]) if tiled else (d[STRIP_AT], d[STRIP_BYTES]))
+            if not bw or not bh:
+                raise ValueError("blocks without extent")
+            across = -(-width // bw)
+            if len(starts) != across * -(-height // bh):
+                raise ValueError("another number of blocks than the page's size asks for")
+            held = sum(max(0, min(n, len(data) - s)) for s, n in zip(starts, sizes, strict=True))
+            if max(width * height, len(starts) * bw * bh if tiled else 0) * samples * kind.itemsize > EXPANSION * held:
+                raise ValueError("blocks can't hold what the page's size asks for")
             image = np.zeros((height, width, samples), kind)
             for k, (s, n) in enumerate(zip(starts, sizes, strict=True)):
                 y, x = k // across * bh, k % across * bw
@@ -298,7 +315,7 @@ def pages(data: bytes) -> Iterator[Page]:
                 image[y : y + rows, x : x + bw] = block[: height - y, : width - x]
             yield Page(number, width, height, samples, bits, compression, predictor, tiled, image.tobytes())
             number, at = number + 1, nxt
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
+    except (struct.error, zlib.error, KeyError, IndexError, TypeError, OverflowError, MemoryError) as e:
         raise ValueError(f"damaged TIFF: {e}") from e
 
 
@@ -361,7 +378,12 @@ def features(counts: np.ndarray, n_pages: int) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document: what comes back from its stored TIFF, hashed and described."""
+    """Per document: what comes back from its stored TIFF, hashed and described.
+
+    Null text counts as empty, which is stored as one unit of zero bytes.  Texts are stored whole, however long;
+    equal texts have equal values; rows with one id get a row each; other columns aren't read and may have
+    any name; an empty table gives an empty result.
+    """
 
     def make():
         def f(cols):

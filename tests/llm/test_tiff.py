@@ -1,5 +1,6 @@
 import hashlib
 import os
+import random
 import zlib
 
 import pytest
@@ -46,6 +47,42 @@ def test_damage(spark):
     assert (got[-1].width, got[-1].height, got[-1].page) == (64, 10, 0)
 
 
+@pytest.mark.parametrize("first", range(len(SCHEMES)))
+def test_flipped_bytes_raise_nothing_else(first):
+    """Every byte of the directory set to telling values, and random ones anywhere: a page, or ValueError, and soon."""
+    r = random.Random(first)
+    good = build(bytes(r.choice(b"ab ") for _ in range(64 * 300)), first=first)
+    at = int.from_bytes(good[4:8], "little")
+    end = min(len(good), at + 2 + 12 * 12 + 4)
+    cases = [(k, v) for k in [*range(8), *range(at, end)] for v in (0, 1, 2, 5, 127, 128, 255)]
+    cases += [(r.randrange(len(good)), r.randrange(256)) for _ in range(600)]
+    failed = 0
+    for k, v in cases:
+        bad = bytearray(good)
+        bad[k] = v
+        if r.random() < 0.3:
+            bad[r.randrange(at, end)] = r.randrange(256)
+        try:
+            for _ in pages(bytes(bad)):
+                pass
+        except ValueError:
+            failed += 1
+    assert failed > 100
+
+
+def test_small_file_that_claims_a_large_page(spark):
+    data = bytearray(build(b"x" * 640, first=0))
+    at = int.from_bytes(data[4:8], "little")
+    for k in range(int.from_bytes(data[at : at + 2], "little")):
+        p = at + 2 + 12 * k
+        if int.from_bytes(data[p : p + 2], "little") in (257, 278):  # rows of the page and of a strip
+            data[p + 2 : p + 12] = (4).to_bytes(2, "little") + (1).to_bytes(4, "little") + (1 << 30).to_bytes(4, "little")
+    with pytest.raises(ValueError, match="can't hold"):
+        list(pages(bytes(data)))
+    rows = page_rows(spark.createDataFrame([(1, bytes(data)), (2, bytes(build(b"x" * 64)))], "id int, data binary"), "id", "data").collect()
+    assert [r.error is None for r in sorted(rows, key=lambda r: r.id)] == [False, True]
+
+
 def test_loop_is_found():
     data = bytearray(build(b"x" * 64))
     at = int.from_bytes(data[4:8], "little")
