@@ -7,12 +7,14 @@ keeps the nearest and drops what an already kept neighbour is ALPHA times nearer
 are added and pruned alike.  Inner product becomes Euclidean distance by one more coordinate that
 gives all nodes of a shard the same length.
 
-A query's beam search visits every shard; beams are scored again in double precision on the
-original vectors, and the best of all shards are merged.
+A query's beam search visits every shard, so shards grow with the table up to a bound, and beams with
+the root of that (``beam_of``); beams are scored again in double precision on the original vectors, and
+the best of all shards are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,9 @@ from .common import written
 
 K = 20
 EVERY = 20
-#: Nodes of a shard, out-edges, beams while building and searching, and how much nearer a kept neighbour must be.
-SHARD = 8192
+#: Nodes of a shard: at least SHARD, so many that there are about SHARDS shards, at most MOST, which is what a task's memory is made for.
+SHARD, SHARDS, MOST = 8192, 16, 131072
+#: Out-edges, beams while building and searching a shard of SHARD nodes, and how much nearer a kept neighbour must be.
 DEGREE = 32
 BUILD_BEAM, SEARCH_BEAM = 64, 128
 ALPHA = 1.2
@@ -35,6 +38,16 @@ WIDE, BATCH = 4, 512
 QUERY_BLOCK = 2048
 
 
+def shard_size(n: int, least: int = SHARD, shards: int = SHARDS, most: int = MOST) -> int:
+    """Nodes of a shard of a table of n nodes."""
+    return max(least, min(most, -(-n // shards)))
+
+
+def beam_of(beam: int, nodes: int, least: int = SHARD) -> int:
+    """The beam for a shard of so many nodes: recall falls with a graph's size unless beams grow."""
+    return max(beam, math.ceil(beam * math.sqrt(nodes / least)))
+
+
 def lifted(vectors: np.ndarray) -> np.ndarray:
     """Nodes with the coordinate that turns inner products into distances, in single precision."""
     norms = (vectors * vectors).sum(1)
@@ -168,47 +181,64 @@ def nodes(rows: DataFrame, k: int = K) -> DataFrame:
     Each task sends the least ids of each vector it holds, so copies are gathered before they move.
     """
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[list, list]] = {}
+    names, schema = ["dim", "h", "h2", "v", "ids"], "dim int, h long, h2 long, v array<double>, ids array<long>"
 
-        def out():
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array([len(held[x][1]) for x in keys], pa.int32()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array([held[x][1] for x in keys], pa.list_(pa.float64())), pa.array([held[x][0] for x in keys], pa.list_(pa.int64()))], names=["dim", "h", "h2", "v", "ids"])
+    def out(held: dict[tuple, tuple[list, list]]) -> pa.RecordBatch:
+        keys = list(held)
+        return pa.RecordBatch.from_arrays([pa.array([len(held[x][1]) for x in keys], pa.int32()), pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()), pa.array([held[x][1] for x in keys], pa.list_(pa.float64())), pa.array([sorted(held[x][0])[: k + 1] for x in keys], pa.list_(pa.int64()))], names=names)
+
+    def add(ids: list, more: list) -> None:
+        ids += more
+        if len(ids) > 4 * k + 4:
+            ids.sort()
+            del ids[k + 1 :]
 
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[list, list]] = {}
         for b in batches:
             vs = b.column(3)
             for i, (row, h, h2) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
                 if (h, h2) not in held:
                     held[h, h2] = ([], vs[i].as_py())
-                ids = held[h, h2][0]
-                ids.append(row)
-                if len(ids) > 4 * k:
-                    ids.sort()
-                    del ids[k + 1 :]
+                add(held[h, h2][0], [row])
             if len(held) >= 20_000:
-                yield out()
+                yield out(held)
                 held = {}
         if held:
-            yield out()
+            yield out(held)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by vector: a vector's ids are merged as they come, never held together."""
+        held: dict[tuple, tuple[list, list]] = {}
+        for b in batches:
+            for i, key in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if key not in held:
+                    if len(held) >= 4096:
+                        yield out(held)
+                        held = {}
+                    held[key] = ([], b.column(3)[i].as_py())
+                add(held[key][0], b.column(4)[i].as_py())
+        if held:
+            yield out(held)
 
     zero = F.transform("v", lambda e: F.when(e == 0, 0.0).otherwise(e))  # 0 and -0 are equal
     some = rows.select("id", F.xxhash64(zero).alias("h"), F.xxhash64(F.lit(7), zero).alias("h2"), zero.alias("v"))
-    some = some.mapInArrow(least, "dim int, h long, h2 long, v array<double>, ids array<long>")
-    return some.groupBy("dim", "h", "h2").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    some = some.mapInArrow(least, schema)
+    return some.repartition("dim", "h", "h2").sortWithinPartitions("dim", "h", "h2").mapInArrow(merged, schema)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, dim)
 
 
-def index(table: DataFrame, id_col: str, vec_col: str, shard: int = SHARD, k: int = K) -> DataFrame:
+def index(table: DataFrame, id_col: str, vec_col: str, shard: int = SHARD, shards: int = SHARDS, most: int = MOST, k: int = K) -> DataFrame:
     """(dim, shard, shards, vectors, graph, ids, at): one row per shard, as written to the shared folder."""
     all_nodes = written(nodes(_vectors(table, id_col, vec_col), k), "nodes")
-    counts = {r["dim"]: -(-r["n"] // shard) for r in all_nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    counts = {r["dim"]: -(-r["n"] // shard_size(r["n"], shard, shards, most)) for r in all_nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not counts:
         counts = {0: 1}
-    shards = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(counts.items()) for x in kv]), "dim")
-    dealt = all_nodes.withColumn("shards", shards).withColumn("shard", F.pmod("h", "shards").cast("int"))
+    parts = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(counts.items()) for x in kv]), "dim")
+    dealt = all_nodes.withColumn("shards", parts).withColumn("shard", F.pmod("h", "shards").cast("int"))
     dealt = dealt.repartition(sum(counts.values()), "dim", "shard").sortWithinPartitions("dim", "shard", "h", "h2")
 
     def make(batches):
@@ -216,7 +246,7 @@ def index(table: DataFrame, id_col: str, vec_col: str, shard: int = SHARD, k: in
 
         def out():
             x = np.concatenate(vs)
-            g = build(lifted(x)).astype(np.int32)
+            g = build(lifted(x), beam=beam_of(BUILD_BEAM, len(x), shard)).astype(np.int32)
             at = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total], pa.int32()), pa.array([x.tobytes()]), pa.array([g.tobytes()]), pa.array([np.array([i for one in ids for i in one], np.int64).tobytes()]), pa.array([at.tobytes()])], names=["dim", "shard", "shards", "vectors", "graph", "ids", "at"])
 
@@ -240,14 +270,14 @@ def index(table: DataFrame, id_col: str, vec_col: str, shard: int = SHARD, k: in
     return written(dealt.select("dim", "shard", "shards", "v", "ids").mapInArrow(make, "dim int, shard int, shards int, vectors binary, graph binary, ids binary, at binary"), "graph")
 
 
-def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, beam: int = SEARCH_BEAM, shard: int = SHARD) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, beam: int = SEARCH_BEAM, shard: int = SHARD, shards: int = SHARDS, most: int = MOST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, itself left out.
 
     ``queries`` has the same columns as ``table``.  Vectors that are null, empty, zero or hold null
     or non-finite numbers take no part; vectors of other dimensions aren't compared.  Ties go to
     smaller ids; rows with one id are rows of their own, and a query leaves out one of them.
     """
-    graphs = index(table, id_col, vec_col, shard, k)
+    graphs = index(table, id_col, vec_col, shard, shards, most, k)
     asked = _vectors(queries, id_col, vec_col).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("q"), F.size("v").alias("dim"), "v")
     asked = written(asked.withColumn("block", (F.col("row") / QUERY_BLOCK).cast("long")), "queries")
     blocks = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("row", "q", "v")).alias("asked"))
@@ -269,7 +299,7 @@ def search(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col
                 for lo in range(0, len(q), BATCH):
                     qs = q[lo : lo + BATCH]
                     ql = np.concatenate([qs, np.zeros((len(qs), 1))], axis=1).astype(np.float32)
-                    found = beam_search(xl, g, ql, starts, beam)
+                    found = beam_search(xl, g, ql, starts, beam_of(beam, len(x), shard))
                     out = [[], [], [], []]
                     for j, f in enumerate(found):
                         f = f[f >= 0]

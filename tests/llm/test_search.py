@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from delimir.llm import tag_paths
-from delimir.llm.pruned_graph import build, lifted, search
+from delimir.llm.pruned_graph import beam_of, build, lifted, search, shard_size
 from delimir.llm.queries import op10_pruned_graph
 from delimir.llm.tag_paths import blocks_of, extract
 
@@ -33,6 +33,21 @@ def test_recall_and_form(spark):
         assert all(s == pytest.approx(float((vectors[q] * vectors[i]).sum()), abs=1e-12) for i, s in found)
 
 
+def test_recall_of_few_large_shards(spark):
+    """Shards far beyond the least size: fewer of them, wider beams, the same recall."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want, got = brute(rows), {}
+    for r in search(df, df.where("vec_id % 20 = 0"), shard=60, shards=2, beam=24).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / len(want[q]) for q in want]) >= 0.95
+
+
+def test_shard_sizes():
+    assert [shard_size(n) for n in (1, 8192, 10**5, 10**6, 10**9)] == [8192, 8192, 8192, 62500, 131072]
+    assert [beam_of(128, n) for n in (10, 8192, 32768, 131072)] == [128, 128, 256, 512]
+
+
 def test_edges_and_copies(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, []), (7, [0.5, 0.5]), (8, [1.0, 2.0, 3.0]), (20, [-1.0, 0.0]), *[(k, [0.0, 1.0]) for k in range(100, 160)], (7, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "2 as row").repartition(4)
