@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, remainder
+from .common import arrow_rows, remainder, slices
 
 #: Bound of the training sample: labelled rows, chosen by hash.
 TRAIN_ROWS = 8_000
@@ -152,7 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS, id_col: str
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of each row; null text counts as empty.  Only the text is looked at."""
+    """(id, score) of each row.  Only the text is looked at.
+
+    Null text counts as empty, which has a score too.  Texts are read whole, however long; rows with one id, or
+    one text, get a row each, equal texts equal scores; other columns aren't read and may have any name; an
+    empty table gives an empty result.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size, about 2 MB
 
@@ -172,8 +177,7 @@ def keep(docs: DataFrame, model: Model, at: float = KEEP_AT, text_col: str = "te
         import pyarrow as pa
 
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                s = b.slice(k, 512)
+            for s in slices(b, col):
                 yield s.filter(pa.array(shared.value.scores(s.column(col).to_pylist()) >= at, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

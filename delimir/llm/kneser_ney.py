@@ -520,10 +520,12 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score) of each row; null text counts as empty.
+    """(id, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     ``score`` is the model's log10 probability of the text with its end; perplexity is
-    10 ** (-score / n_tokens).
+    10 ** (-score / n_tokens).  Null and empty texts are that end alone.  Texts are read whole, however
+    long; rows with one id, or one text, get a row each; other columns aren't read and may have any name; a
+    model of no text gives each word the same share; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

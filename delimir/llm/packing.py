@@ -279,7 +279,9 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, width:
     """Pack whole documents: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     ``sequence`` must be a multiple of ``width``.  Sequences hold at most ``sequence`` ids; the last
-    few may be emptier.  An empty table gives an empty result.
+    few may be emptier.  Null text counts as empty and is one piece, the closing id; rows with one id, or one
+    text, are documents of their own; texts of any length are cut, not shortened; other columns aren't read
+    and may have any name.  An empty table gives an empty result.
     """
     if sequence % width:
         raise ValueError("the sequence length must be a multiple of the class width")

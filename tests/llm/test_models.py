@@ -93,6 +93,38 @@ def test_interactions_are_pairwise_sums():
         assert got == pytest.approx(want)
 
 
+def test_quality_of_long_repeated_and_clashing_rows(spark):
+    good, bad = "Well, this is a fine sentence. It goes on, and ends. ", "buy!! $$$ NOW ||| click!! "
+    texts = [good * 20, bad * 20, None, "", good * 60_000, good * 20]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(0, good * 20)], "doc_id long, text string").selectExpr("*", "1 as score", "2 as h", "3 as i", "4 as y")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (4, 1), (5, 1), (1, 0), (99, 1)], "doc_id long, quality int")
+    m = fm.fit(docs, labels)
+    rows = fm.score(docs, m).collect()
+    assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert len(by[0]) == 1 and by[0] == by[5] and by[2] == by[3]
+    kept = fm.keep(docs, m, at=0.0)
+    assert kept.columns == docs.columns and kept.count() == 7 and fm.keep(docs, m, at=1.1).count() == 0
+
+
+def test_quality_is_brute_force(spark):
+    """The query's scores by the model's definition, term by term."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    m = fm.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op5_factor_machine(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
+        i, x, _ = fm.flat([fm.features(texts[r.doc_id])])
+        vx = m.factors[i].astype(float) * x[:, None]
+        later = np.cumsum(vx[::-1], axis=0)[::-1]
+        pairs = float((vx[:-1] * later[1:]).sum())  # each with all after it
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(m.bias + float((m.linear[i] * x).sum()) + pairs))), abs=1e-4)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
