@@ -17,6 +17,8 @@ from .common import arrow_rows, remainder, slices
 
 #: Words of a dictionary, and letters of a word that may be one: what a model may weigh.
 WORDS, LETTERS = 2048, 40
+#: Parts in which a language's words are ranked.
+PARTS = 64
 CHUNK = 2048
 #: Lazy matching from four bytes on: languages differ in short strings, which fast levels skip.
 SEARCH = {"min_match": 4, "hash_log": 16, "chain_log": 16, "search_log": 4, "window_log": 18, "target_length": 16}
@@ -37,7 +39,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     texts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     each = rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, LETTERS))
     counts = each.groupBy("l", "w").agg(F.count("*").alias("n"))
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.col("n").desc(), "w"))).where(F.col("r") <= words)
+    order = (F.col("n").desc(), F.col("w"))
+    part = F.pmod(F.xxhash64("w"), F.lit(PARTS))  # the best of each part first, so no task ranks a whole language
+    some = counts.withColumn("r", F.row_number().over(Window.partitionBy("l", part).orderBy(*order))).where(F.col("r") <= words)
+    best = some.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("r") <= words)
     found: dict[str, list[str]] = {}
     for r in sorted(best.select("l", "r", "w").collect(), key=lambda r: -r["r"]):
         found.setdefault(r["l"], []).append(r["w"])
