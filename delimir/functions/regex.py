@@ -1,4 +1,4 @@
-"""Regular expressions: checks a pattern for the linear-time dialect and writes it for Java.
+"""Regular expressions: checks a pattern for the linear-time dialect and writes it for Java, and for Arrow's own linear-time engine.
 
 The dialect has no look-around, back references, atomic groups or possessive repeats; ``$`` without
 ``m`` is the end of text; only line feed ends a line; ``\\s``, ``\\w``, ``\\d`` and ``\\b`` are ASCII.
@@ -40,11 +40,19 @@ _HEX = re.compile(r"[0-9A-Fa-f]+")
 
 @dataclass(frozen=True)
 class Regex:
-    """A checked pattern; ``java`` is its form for ``rlike``."""
+    """A checked pattern; ``java`` is its form for ``rlike``, ``linear`` that for Arrow."""
 
     source: str
     flags: str = ""
     java: str = ""
+    linear: str = ""
+
+    def found_in(self, text: str) -> bool:
+        """Whether a local text has a match, by the engine whose dialect this is."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        return pc.match_substring_regex(pa.scalar(text, pa.string()), self.linear).as_py()
 
 
 def regex(source: str, flags: str = "") -> Regex:
@@ -57,8 +65,10 @@ def regex(source: str, flags: str = "") -> Regex:
         raise DelimitedError(f"duplicate regular expression flags: {flags}")
     if len(source.encode()) > MAX_REGEX_BYTES:
         raise DelimitedError(f"regular expression exceeds {MAX_REGEX_BYTES} UTF-8 bytes")
-    body = _Writer(source, flags).write()
-    return Regex(source, flags, "(?d" + ("iu" if "i" in flags else "") + "".join(f for f in "ms" if f in flags) + ")" + body)
+    java, linear = (_Writer(source, flags, form).write() for form in ("java", "linear"))
+    on = "".join(f for f in "ms" if f in flags)
+    short = "".join(f for f in "ims" if f in flags)
+    return Regex(source, flags, "(?d" + ("iu" if "i" in flags else "") + on + ")" + java, (f"(?{short})" if short else "") + linear)
 
 
 def _syntax(source: str, what: str) -> DelimitedError:
@@ -70,8 +80,8 @@ def _dialect(what: str) -> DelimitedError:
 
 
 class _Writer:
-    def __init__(self, source: str, flags: str):
-        self.s, self.flags, self.at = source, flags, 0
+    def __init__(self, source: str, flags: str, form: str):
+        self.s, self.flags, self.at, self.java = source, flags, 0, form == "java"
         self.out: list[str] = []
 
     def write(self) -> str:
@@ -102,10 +112,10 @@ class _Writer:
                 self.put("\\" + c)
                 atom = True
             elif c == "$":
-                self.put(r"(?![^\n])" if "m" in self.flags else r"\z")
+                self.put("$" if not self.java else r"(?![^\n])" if "m" in self.flags else r"\z")
                 atom = False
             elif c == "^":
-                self.put(r"(?<![^\n])" if "m" in self.flags else "^")  # Java's own never matches at the very end
+                self.put(r"(?<![^\n])" if self.java and "m" in self.flags else "^")  # Java's own never matches at the very end
                 atom = False
             elif c == "|":
                 self.put(c)
@@ -149,10 +159,10 @@ class _Writer:
                 raise _dialect(f"invalid perl operator: {bad if len(bad) < 4 else bad[:3]}")
         if m := re.compile(r"\(\?P?<([A-Za-z_]\w*)>").match(s, at):
             self.at = m.end()
-            return f"(?<{m[1]}>"
+            return f"(?<{m[1]}>" if self.java else f"(?P<{m[1]}>"
         if m := re.compile(r"\(\?([ims]*)(?:-([ims]*))?:").match(s, at):
             self.at = m.end()
-            on, off = m[1].replace("i", "iu"), (m[2] or "").replace("i", "iu")
+            on, off = (x.replace("i", "iu") if self.java else x for x in (m[1], m[2] or ""))
             return f"(?{on}{'-' + off if off else ''}:"
         raise _syntax(s, "Invalid group")
 
@@ -202,10 +212,12 @@ class _Writer:
             self.at = m.end()
             name = m[2] or m[3]
             negated = (c == "P") != bool(m[1])
-            return f"\\{'P' if negated else 'p'}{{{name if len(name) <= 2 else 'Is' + name}}}"
+            return f"\\{'P' if negated else 'p'}{{{name if len(name) <= 2 or not self.java else 'Is' + name}}}"
         self.at += 1
         if c in _PLAIN:
             return _PLAIN[c]
+        if not self.java and (c.lower() in _CLASS or c in "bB" and not inside):
+            return "\\" + c
         if c.lower() in _CLASS:
             ranges = _CLASS[c.lower()]
             if inside:
@@ -245,7 +257,7 @@ class _Writer:
                 if m:
                     if m[2] not in POSIX:
                         raise _dialect(f"invalid character class range: {m[0]}")
-                    out += f"[^{POSIX[m[2]]}]" if m[1] else POSIX[m[2]]
+                    out += m[0] if not self.java else f"[^{POSIX[m[2]]}]" if m[1] else POSIX[m[2]]
                     self.at = m.end()
                     continue
                 out += r"\["

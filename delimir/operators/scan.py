@@ -34,15 +34,34 @@ def field(i: int) -> Column:
 
 
 def filter_json(f: Filter) -> dict | None:
-    """A filter as JSON for the source; None if it holds a pattern or bytes."""
+    """What the source can drop rows by, as JSON: the filter without its patterns; None if nothing is left.
+
+    Of ``all`` the other parts still hold; ``any`` and ``not`` must go down whole or not at all.
+    """
     if f.parts:
         parts = [filter_json(p) for p in f.parts]
-        if None in parts:
+        if f.kind == "all":
+            some = [p for p in parts if p is not None]
+            return {"all": some} if some else None
+        if None in parts or not all(map(whole, f.parts)):
             return None
         return {"not": parts[0]} if f.kind == "not" else {f.kind: parts}
-    if f.kind == "regex" or any(isinstance(v, bytes) for v in f.values):
+    if not whole(f):
         return None
-    return {"column": f.column, f.kind: list(f.values) if f.kind in ("in", "notIn") else f.values[0]}
+    values = [v.decode() if isinstance(v, bytes) else v for v in f.values]
+    return {"column": f.column, f.kind: values if f.kind in ("in", "notIn") else values[0]}
+
+
+def whole(f: Filter) -> bool:
+    """Whether a filter can go down as it is: no pattern, no bytes that aren't UTF-8."""
+
+    def text(v) -> bool:
+        try:
+            return not isinstance(v, bytes) or v.decode() is not None
+        except UnicodeDecodeError:
+            return False
+
+    return all(x.kind != "regex" and all(map(text, x.values)) for x in f.leaves())
 
 
 def source(spark: SparkSession, path: str, o: Options, needed: list[int] | None = None) -> DataFrame:

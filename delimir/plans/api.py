@@ -48,8 +48,6 @@ def parse(data: bytes, given: Options | None = None, /, **more) -> list[list[str
 
 def evaluate(f: Filter, row: list[str]) -> bool | None:
     """A filter on one local record, patterns included; None is unknown."""
-    import re
-
     if f.kind in ("all", "any"):
         got = [evaluate(p, row) for p in f.parts]
         stop = f.kind == "any"
@@ -60,12 +58,7 @@ def evaluate(f: Filter, row: list[str]) -> bool | None:
     if f.kind == "regex":
         if f.column >= len(row):
             return None
-        r = f.values[0]
-        flags = re.ASCII if "i" not in r.flags else 0
-        flags |= (re.I if "i" in r.flags else 0) | (re.M if "m" in r.flags else 0) | (re.S if "s" in r.flags else 0)
-        body = r.java[r.java.index(")") + 1 :].replace(r"\z", r"\Z")
-        body = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), body).replace("(?-iu:", "(?:")
-        return re.search(body, row[f.column], flags) is not None
+        return f.values[0].found_in(row[f.column])
     from ..functions.filters import to_predicate
 
     return to_predicate(f)(row)

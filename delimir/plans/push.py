@@ -22,14 +22,17 @@ class PushParser:
     def __init__(self, delimiter: str = ",", encoding: str = "utf8", strict: bool = False, fixed_columns: int | None = None):
         self._p, self._open = ChunkParser(delimiter, encoding, strict, fixed_columns), True
 
+    def _refuse_strict(self, operation: str) -> None:
+        if self._p.strict:
+            raise DelimitedError(f"strict CSV validation is not supported for {operation}")
+
     def _take(self, chunk: bytes | None) -> list[list[str]]:
         if not self._open:
             raise DelimitedError("parser is closed")
         return self._p.end() if chunk is None else self._p.write(bytes(chunk))
 
-    def _passing(self, chunk: bytes | None, where: Filter | None) -> list[list[str]]:
-        if where is not None and self._p.strict:
-            raise DelimitedError("strict CSV validation is not supported for filtered rows")
+    def _passing(self, chunk: bytes | None, where: Filter | None, operation: str) -> list[list[str]]:
+        self._refuse_strict(operation)
         rows = self._take(chunk)
         return rows if check(where) is None else [r for r in rows if evaluate(where, r) is True]
 
@@ -49,7 +52,7 @@ class PushParser:
     # -- projected, filtered records ---------------------------------------------------------------
     def _projected(self, chunk: bytes | None, columns, where: Filter | None) -> Batch:
         picked = projection(columns)
-        return _batch([[r[c] if c < len(r) else "" for c in picked] for r in self._passing(chunk, where)])
+        return _batch([[r[c] if c < len(r) else "" for c in picked] for r in self._passing(chunk, where, "projected batches")])
 
     def write_projected_batch(self, chunk: bytes, columns, where: Filter | None = None) -> Batch:
         return self._projected(chunk, columns, where)
@@ -59,16 +62,16 @@ class PushParser:
 
     # -- counts ------------------------------------------------------------------------------------
     def write_count(self, chunk: bytes) -> int:
-        return len(self._take(chunk))
+        return len(self._passing(chunk, None, "count"))
 
     def end_count(self) -> int:
-        return len(self._take(None))
+        return len(self._passing(None, None, "count"))
 
     def write_count_where(self, chunk: bytes, where: Filter) -> int:
-        return len(self._passing(chunk, where))
+        return len(self._passing(chunk, where, "count filters"))
 
     def end_count_where(self, where: Filter) -> int:
-        return len(self._passing(None, where))
+        return len(self._passing(None, where, "count filters"))
 
     def write_count_where_equals(self, chunk: bytes, index: int, value) -> int:
         return self.write_count_where(chunk, column(index).equals(value))

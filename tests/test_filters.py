@@ -142,3 +142,21 @@ def test_regex_agrees_with_re2(spark):
         for i, v in enumerate(PROBES):
             want = con.execute("select regexp_matches(?, ?)", [v, p]).fetchone()[0]
             assert got[i][f"p{k}"] == want, (s, f, v)
+
+
+def test_local_patterns_are_the_same_dialect():
+    con = duckdb.connect()
+    for s, f in PATTERNS:
+        p = f"(?{f}:{s})" if f else s
+        for v in PROBES:
+            want = con.execute("select regexp_matches(?, ?)", [v, p]).fetchone()[0]
+            assert evaluate(column(0).has_match(regex(s, f)), [v]) is want, (s, f, v)
+    assert evaluate(column(0).has_match(r"^\pL$"), ["é"]) is True
+
+
+def test_parts_without_patterns_go_down():
+    a, b, r = column(0).equals("x"), column(1).is_one_of([b"y", "z"]), column(2).has_match("q")
+    assert filter_json(all_(a, r, b)) == {"all": [{"column": 0, "equals": "x"}, {"column": 1, "in": ["y", "z"]}]}
+    assert filter_json(any_(a, r)) is None and filter_json(not_(all_(a, r))) is None and filter_json(r) is None
+    assert filter_json(any_(a, not_(b))) == {"any": [{"column": 0, "equals": "x"}, {"not": {"column": 1, "in": ["y", "z"]}}]}
+    assert filter_json(column(0).equals(b"\xff")) is None

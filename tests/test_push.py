@@ -39,7 +39,15 @@ def test_reset_and_close():
         p.write(b'a,"b')
         p.reset()
         assert p.write(b"x,y\n") == [["x", "y"]]
-        with pytest.raises(DelimitedError, match="not supported for filtered rows"):
+        with pytest.raises(DelimitedError, match="not supported for count filters"):
             p.write_count_where(b"", column(0).equals("x"))
     with pytest.raises(DelimitedError, match="closed"):
         p.write(b"")
+
+
+def test_strict_refuses_counts_and_projections():
+    p = PushParser(",", strict=True)
+    for call in (lambda: p.write_count(b"a,b\n"), p.end_count, lambda: p.write_projected_batch(b"a,b\n", [0]), lambda: p.end_projected_batch([0]), lambda: p.write_count_where_equals(b"", 0, "a")):
+        with pytest.raises(DelimitedError, match="strict CSV validation is not supported for"):
+            call()
+    assert p.write(b"a,b\n") == [["a", "b"]]
