@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from ..sources.storage import files_of, local_path, open_bytes, size_of
 SPLIT_BY_JOB = 1 << 30
 #: Up to so many files the driver looks at their first bytes itself.
 FEW_FILES = 256
+#: Up to so many values are searched for in a line before it is cut.
+FEW_NEEDLES = 8
 COLUMNS = ("_file", "_shard", "_pos", "fields")
 
 
@@ -131,10 +134,41 @@ def literal_pattern(delimiter: str) -> str:
     return "\\" + delimiter if delimiter in ".$|()[{^?*+\\" else delimiter
 
 
+def needle(f: Filter) -> Column | None:
+    """What a line must hold for a record without quotes to pass, as a search in the whole line; None if that says nothing."""
+    if f.kind in ("all", "any"):
+        parts = [needle(p) for p in f.parts]
+        some = [p for p in parts if p is not None]
+        if not some or f.kind == "any" and len(some) < len(parts):
+            return None
+        return reduce(lambda a, b: a & b if f.kind == "all" else a | b, some)
+    if f.kind not in ("equals", "in", "startsWith") or not whole(f) or len(f.values) > FEW_NEEDLES:
+        return None
+    values = [v.decode() if isinstance(v, bytes) else v for v in f.values]
+    if "" in values:
+        return None
+    return reduce(lambda a, b: a | b, [F.contains("value", F.lit(v)) for v in values])
+
+
 def fast_scan(spark: SparkSession, path: str, o: Options) -> DataFrame:
-    """Lines cut at the delimiter."""
-    cut = F.split("value", literal_pattern(o.delimiter), -1)
-    return lines(spark, path, o.encoding).select("_file", "_shard", F.monotonically_increasing_id().alias("_pos"), cut.alias("fields"))
+    """Lines cut at the delimiter, no further than any column is asked for.
+
+    With a filter, lines that can't pass are dropped uncut, and the cut fields are bound once: a filter
+    above a plain projection would cut each line again for each of its parts.
+    """
+    df = lines(spark, path, o.encoding)
+    needed = looked_at(o)
+    cut = F.split("value", literal_pattern(o.delimiter), -1 if needed is None else max(needed, default=0) + 2)
+    if o.where is not None:
+        if (must := needle(o.where)) is not None:
+            df = df.where(must)
+        cut = F.explode(F.array(cut))
+    return df.select("_file", "_shard", F.monotonically_increasing_id().alias("_pos"), cut.alias("fields"))
+
+
+def looked_at(o: Options) -> list[int] | None:
+    """The columns that the projection or the filter looks at; None: all."""
+    return None if o.columns is None else sorted({*o.columns, *([x.column for x in o.where.leaves()] if o.where else [])})
 
 
 def can_be_fast(o: Options) -> bool:
@@ -147,8 +181,7 @@ def scan(spark: SparkSession, path: str, o: Options) -> DataFrame:
     if fast:
         df = fast_scan(spark, path, o)
     else:
-        needed = None if o.columns is None or o.strict else sorted({*o.columns, *([x.column for x in o.where.leaves()] if o.where else [])})
-        df = source(spark, path, o, needed)
+        df = source(spark, path, o, None if o.strict else looked_at(o))
     return project(keep(df, o.where), o.columns)
 
 

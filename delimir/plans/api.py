@@ -85,7 +85,7 @@ def _counted(o: Options) -> Options:
     """For counts a projection only has to be valid, and a fixed width matters only in strict reading."""
     from dataclasses import replace
 
-    return replace(o, columns=None, fixed_columns=o.fixed_columns if o.strict else None)
+    return replace(o, columns=None if o.where is None else (), fixed_columns=o.fixed_columns if o.strict else None)
 
 
 def count(spark: SparkSession, path: str, given: Options | None = None, /, **more) -> int:

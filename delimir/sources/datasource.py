@@ -100,8 +100,22 @@ def mask_of(f: Filter, fields: pa.ListArray) -> pa.Array:
     return found if f.kind in ("equals", "in") else pc.invert(found)
 
 
-def block_batches(chunks: Iterator[bytes], delimiter: str, encoding: str, path: str, shard: int, where: Filter | None) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of all records that pass; blocks with quotes go through the tokenizer."""
+def pruned(fields: pa.ListArray, columns: list[int]) -> pa.ListArray:
+    """The records with only these columns' values, in place: what comes after the last is cut off, others are empty."""
+    at = fields.offsets.to_numpy().astype(np.int64)
+    width = np.minimum(np.diff(at), max(columns, default=-1) + 1)
+    offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+    column = np.arange(offsets[-1]) - np.repeat(offsets[:-1], width)
+    want = np.zeros(max(columns, default=0) + 1, bool)
+    want[columns] = True
+    place = np.repeat(at[:-1], width) + column
+    asked = pa.array(want[column]) if len(column) else pa.array([], pa.bool_())
+    values = pc.if_else(asked, fields.values.take(pa.array(place)), pa.scalar("", pa.string()))
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def block_batches(chunks: Iterator[bytes], delimiter: str, encoding: str, path: str, shard: int, where: Filter | None, columns: list[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of all records that pass, with the values of ``columns`` (None: all); blocks with quotes go through the tokenizer."""
     pos = 0
     keep = to_predicate(where) if where else None
     for block in whole_blocks(chunks, delimiter):
@@ -115,7 +129,7 @@ def block_batches(chunks: Iterator[bytes], delimiter: str, encoding: str, path:
                     n += 1
                     yield r
 
-            for b in batches(counted(), path, shard, None, keep, pos=pos):
+            for b in batches(counted(), path, shard, columns, keep, columns != [], pos=pos):
                 yield b
             pos += n
             continue
@@ -124,6 +138,8 @@ def block_batches(chunks: Iterator[bytes], delimiter: str, encoding: str, path:
         if where is not None:
             hit = np.flatnonzero(mask_of(where, fields).fill_null(False).to_numpy(zero_copy_only=False))
             fields, at = fields.take(pa.array(hit)), at[hit]
+        if columns is not None:
+            fields = pruned(fields, columns)
         for lo in range(0, len(fields), BATCH):
             part = fields.slice(lo, BATCH)
             yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()).take(pa.array(np.zeros(len(part), np.int32))), pa.array(np.full(len(part), shard)), pa.array(at[lo : lo + BATCH]), part], schema=ARROW)
@@ -210,7 +226,7 @@ class Reader(DataSourceReader):
             return
         where = from_json(json.loads(self.where)) if self.where else None
         if not self.strict and self.fixed is None:
-            yield from block_batches(chunks, partition.delimiter, self.encoding, partition.path, partition.start, where)
+            yield from block_batches(chunks, partition.delimiter, self.encoding, partition.path, partition.start, where, self.columns)
             return
         keep = to_predicate(where) if where else None
         rows = grammar.strict_records(chunks, partition.delimiter, self.encoding, self.fixed, self.strict)

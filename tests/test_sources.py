@@ -6,6 +6,11 @@ import zlib
 import pyarrow as pa
 import pytest
 
+from delimir.functions.filters import all_, any_, column, not_
+from delimir.operators.scan import scan
+from delimir.plans import api
+from delimir.plans.api import evaluate
+from delimir.plans.options import options
 from delimir.plans.errors import DelimitedError
 from delimir.sources.codecs import Zip, detect, open_chunks
 from delimir.sources.sniff import detect_delimiter
@@ -110,3 +115,27 @@ def test_delimiters(data, hint, want):
 def test_delimiter_errors(data, message):
     with pytest.raises(DelimitedError, match=message):
         detect_delimiter([data])
+
+
+def test_columns_are_pruned_while_reading():
+    from delimir.sources.datasource import block_batches, pruned
+
+    rows = [["a", "b", "c", "d"], ["e"], [""], ["f", "g", "h"]]
+    fields = pa.array(rows, pa.list_(pa.string())).slice(0)
+    assert pruned(fields, [1, 2]).to_pylist() == [["", "b", "c"], [""], [""], ["", "g", "h"]]
+    assert pruned(fields, [0]).to_pylist() == [["a"], ["e"], [""], ["f"]]
+    assert pruned(fields, []).to_pylist() == [[], [], [], []]
+    assert pruned(fields.slice(1, 2), [0, 3]).to_pylist() == [["e"], [""]]
+    got = [r for b in block_batches(iter([b"a,b,c\n1,2,3\n", b'x,"y,z",w\n']), ",", "utf8", "p", 0, column(0).is_one_of(["1", "x"]), [0, 2]) for r in b.column(3).to_pylist()]
+    assert got == [["1", "", "3"], ["x", "", "w"]]
+
+
+def test_lines_are_searched_before_they_are_cut(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,1\nb,R\nR,2\nc,Rx\nd\n,\nRR,R\n")
+    path = f"file://{tmp_path}"
+    for f in (column(1).equals("R"), column(1).is_one_of(["R", "1"]), column(1).starts_with("R"), any_(column(0).equals("R"), column(1).equals("R")), all_(column(1).starts_with(""), not_(column(0).equals("b"))), column(1).does_not_equal("R"), column(1).equals(""), column(1).equals(b"R"), any_(column(0).equals("d"), column(1).has_match("x$"))):
+        quick, exact = (sorted(r[0] for r in scan(spark, path, options(where=f, quotes=q)).select("fields").collect()) for q in (False, True))
+        assert quick == exact == sorted(r for r in [["a", "1"], ["b", "R"], ["R", "2"], ["c", "Rx"], ["d"], ["", ""], ["RR", "R"]] if evaluate(f, r) is True)
+        quick, exact = (sorted(r[0] for r in scan(spark, path, options(where=f, columns=(1,), quotes=q)).select("fields").collect()) for q in (False, True))
+        assert quick == exact
+        assert api.count(spark, path, where=f, quotes=False) == api.count(spark, path, where=f, quotes=True) == len(exact)
