@@ -35,26 +35,30 @@ def main() -> None:
     from delimir.plans import api
     from delimir.sources.storage import files_of, size_of
 
-    lines = q.text_of(spark, sf_dir, "lineitem", q.LINE)
+    lines = q.text_of(spark, sf_dir, "lineitem", q.WHOLE_LINE)
     pages = q.text_of(spark, sf_dir, "pages", ("page_id", "url", "html"))
     size = sum(map(size_of, files_of(lines)))
     many = copies(files_of(lines), 20)
-    where = all_(column(4).equals("R"), column(5).does_not_equal("O"))
+    where = all_(column(8).equals("R"), column(9).does_not_equal("O"))
     sink = lambda df: df.write.format("noop").mode("overwrite").save()
     runs = {
         "count_all": lambda: api.count(spark, lines, quotes=False),
-        "count_where": lambda: api.count(spark, lines, where=column(4).equals("R"), quotes=False),
-        "project_filter": lambda: sink(api.rows(spark, lines, columns=(0, 4, 6), where=where, quotes=False).select("fields")),
+        "count_where": lambda: api.count(spark, lines, where=column(8).equals("R"), quotes=False),
+        "project_filter": lambda: sink(api.rows(spark, lines, columns=(0, 8, 10), where=where, quotes=False).select("fields")),
         "materialize_all": lambda: sink(api.rows(spark, lines, quotes=False).select("fields")),
-        "materialize_selected": lambda: sink(api.rows(spark, lines, columns=(0, 4, 6), quotes=False).select("fields")),
+        "materialize_selected": lambda: sink(api.rows(spark, lines, columns=(0, 8, 10), quotes=False).select("fields")),
         "count_all_exact": lambda: api.count(spark, lines, quotes=True),
-        "count_where_exact": lambda: api.count(spark, lines, where=column(4).equals("R"), quotes=True),
+        "count_where_exact": lambda: api.count(spark, lines, where=column(8).equals("R"), quotes=True),
         "materialize_all_exact": lambda: sink(api.rows(spark, lines, quotes=True).select("fields")),
         "count_all_x20": lambda: api.count(spark, many, quotes=False),
-        "project_filter_x20": lambda: sink(api.rows(spark, many, columns=(0, 4, 6), where=where, quotes=False).select("fields")),
+        "project_filter_x20": lambda: sink(api.rows(spark, many, columns=(0, 8, 10), where=where, quotes=False).select("fields")),
         "materialize_all_x20": lambda: sink(api.rows(spark, many, quotes=False).select("fields")),
         "count_all_exact_x20": lambda: api.count(spark, many, quotes=True),
-        "project_filter_exact_x20": lambda: sink(api.rows(spark, many, columns=(0, 4, 6), where=where, quotes=True).select("fields")),
+        "project_filter_exact_x20": lambda: sink(api.rows(spark, many, columns=(0, 8, 10), where=where, quotes=True).select("fields")),
+        "count_where_x20": lambda: api.count(spark, many, where=column(8).equals("R"), quotes=False),
+        "materialize_selected_x20": lambda: sink(api.rows(spark, many, columns=(0, 8, 10), quotes=False).select("fields")),
+        "materialize_all_exact_x20": lambda: sink(api.rows(spark, many, quotes=True).select("fields")),
+        "count_where_exact_x20": lambda: api.count(spark, many, where=column(8).equals("R"), quotes=True),
         "multiline_pages_exact": lambda: sink(api.rows(spark, pages).select("fields")),
     }
     times = {}

@@ -1,4 +1,4 @@
-"""Batches of records on the driver: views over Arrow memory, without a string per field."""
+"""Batches of records, in tasks or on the driver: views over Arrow memory, without a string per field."""
 
 from __future__ import annotations
 
@@ -130,25 +130,45 @@ class Batch:
         for i, row in enumerate(self.rows()):
             callback(row, i)
 
+    def column_ranges(self, column: int, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the records that have the column, and its byte ranges in them."""
+        span = self._span(start, end)
+        first, after = self._rows[span.start : span.stop].astype(np.int64), self._rows[span.start + 1 : span.stop + 1].astype(np.int64)
+        have = np.flatnonzero(first + column < after) if column >= 0 else np.zeros(0, np.int64)
+        k = first[have] + column
+        return have + span.start, self._at[k], self._at[k + 1]
+
     def for_each_column_range(self, column: int, callback: Callable[[int, int, int], None], start: int = 0, end: int | None = None) -> None:
         """callback(row, first byte, end) where the record has the column."""
-        for r in self._span(start, end):
-            if (got := self.field_range(r, column)) is not None:
-                callback(r, *got)
+        for r, a, b in zip(*(x.tolist() for x in self.column_ranges(column, start, end)), strict=True):
+            callback(r, a, b)
 
     def for_each_column_bytes(self, column: int, callback: Callable[[memoryview, int], None], start: int = 0, end: int | None = None) -> None:
-        for r in self._span(start, end):
-            if (got := self.field_bytes(r, column)) is not None:
-                callback(got, r)
+        for r, a, b in zip(*(x.tolist() for x in self.column_ranges(column, start, end)), strict=True):
+            callback(self._data[a:b], r)
 
     def scan_columns(self, columns: list[int], callback: Callable[[int, list[tuple[int, int]]], None], start: int = 0, end: int | None = None) -> None:
         """callback(row, ranges); a missing field's range is (-1, -1)."""
-        for r in self._span(start, end):
-            callback(r, [self.field_range(r, c) or (-1, -1) for c in columns])
+        span = self._span(start, end)
+        table = np.full((len(span), len(columns), 2), -1, np.int64)
+        for k, c in enumerate(columns):
+            rows, a, b = self.column_ranges(c, start, end)
+            table[rows - span.start, k, 0], table[rows - span.start, k, 1] = a, b
+        for r, ranges in zip(span, table.tolist(), strict=True):
+            callback(r, list(map(tuple, ranges)))
 
     def count_where_equals(self, column: int, value: str | bytes) -> int:
+        """Records whose field is the value, byte by byte, over the batch's memory."""
+        self._check()
         want = value.encode() if isinstance(value, str) else bytes(value)
-        return sum(self.field_buffer(r, column) == want for r in range(self.row_count))
+        _, a, b = (x.astype(np.int64) for x in self.column_ranges(column))
+        a = a[b - a == len(want)]
+        data = np.frombuffer(self._data, np.uint8)
+        for k, byte in enumerate(want):
+            if not len(a):
+                break
+            a = a[data[a + k] == byte]
+        return len(a)
 
 
 class RowView:
@@ -196,3 +216,31 @@ def local_batches(df: DataFrame, rows: int = 8192) -> Iterator[Batch]:
             held = []
     if held:
         yield Batch(pa.array(held, pa.list_(pa.string())))
+
+
+def in_tasks(df: DataFrame, f: Callable[[Batch], Iterator[tuple]], schema: str) -> DataFrame:
+    """f(batch) over batches of a scan's records, in its tasks; what f yields are rows of ``schema``.  A batch is closed after its call."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(arrow):
+        for b in arrow:
+            with Batch(b.column(0)) as batch:
+                rows = list(f(batch))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    return df.select("fields").mapInArrow(run, schema)
+
+
+def views_in_tasks(df: DataFrame, f: Callable[[RowView], tuple | None], schema: str, columns: tuple[int, ...] | None = None) -> DataFrame:
+    """f(view) for each record of a scan, in its tasks; what isn't None is a row of ``schema``."""
+
+    def each(batch: Batch) -> Iterator[tuple]:
+        view = RowView(batch, columns)
+        for view.row in range(batch.row_count):
+            if (got := f(view)) is not None:
+                yield got
+
+    return in_tasks(df, each, schema)

@@ -17,7 +17,7 @@ from ..sources.sharding import safe_shards, safe_split_offsets
 from .errors import DelimitedError
 from .options import Options, options, parallel, refuse
 
-__all__ = ["Filter", "Pool", "Regex", "all_", "any_", "batches", "column", "columnar_batches", "count", "count_file", "for_each_row_view", "header_objects", "not_", "parallel_count", "parallel_rows", "parse", "parse_file", "parse_projected", "regex", "row_views", "rows", "safe_shards", "safe_split_offsets", "worker_pool"]
+__all__ = ["Filter", "Pool", "Regex", "all_", "any_", "batches", "column", "columnar_batches", "count", "count_file", "for_each_row_view", "header_objects", "map_batches", "map_row_views", "not_", "parallel_count", "parallel_rows", "parse", "parse_file", "parse_projected", "regex", "row_views", "rows", "safe_shards", "safe_split_offsets", "worker_pool"]
 
 
 def _no_filtered_strict(o: Options) -> None:
@@ -151,6 +151,24 @@ def batches(spark: SparkSession, path: str, given: Options | None = None, /, **m
             yield b
 
 
+def map_batches(spark: SparkSession, path: str, f: Callable[[_batches.Batch], Iterator[tuple]], schema: str, given: Options | None = None, /, **more) -> DataFrame:
+    """The batches' form for clusters: f runs in the scan's tasks and yields rows of ``schema``.  Records are projected as in ``rows``."""
+    o = options(given, **more)
+    _no_filtered_strict(o)
+    return _batches.in_tasks(_scan.scan(spark, path, o), f, schema)
+
+
+def map_row_views(spark: SparkSession, path: str, f: Callable[[_batches.RowView], tuple | None], schema: str, given: Options | None = None, /, **more) -> DataFrame:
+    """The row views' form for clusters: f(view) runs in the scan's tasks; column indexes are physical."""
+    o = options(given, **more)
+    _no_filtered_strict(o)
+    if o.worker_count > 1:
+        raise DelimitedError("row views do not support workerCount")
+    from dataclasses import replace
+
+    return _batches.views_in_tasks(_scan.scan(spark, path, replace(o, columns=None)), f, schema, o.columns)
+
+
 def for_each_row_view(spark: SparkSession, path: str, callback: Callable[[_batches.RowView], None], given: Options | None = None, /, **more) -> None:
     """callback(view) for each record on the driver; a view holds only during its call."""
     o = options(given, **more)
