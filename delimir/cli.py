@@ -207,15 +207,14 @@ def _by_spark(path: str, o: Options, command: str, out, limit: int | None, delim
     from pyspark.sql import SparkSession
 
     from .operators.scan import scan
-    from .operators.sinks import first_records, serialize, to_json_line
-    from .plans.api import count
+    from .operators.sinks import serialize, to_json_line
+    from .plans.api import count, first_rows
 
     spark = SparkSession.builder.getOrCreate()
     if command == "count":
         out.write(f"{count(spark, path, o)}\n")
         return
-    df = scan(spark, path, o)
-    df = first_records(df, limit) if limit else df.orderBy("_file", "_shard", "_pos")
+    df = first_rows(spark, path, limit, o) if limit else scan(spark, path, o).orderBy("_file", "_shard", "_pos")
     for r in df.select("fields").toLocalIterator():
         out.write((to_json_line(r[0]) if as_json else serialize(r[0], delimiter)) + "\n")
 

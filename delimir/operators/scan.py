@@ -19,11 +19,11 @@ from ..plans.options import Options
 from ..sources import datasource
 from ..sources.codecs import Zip
 from ..sources.grammar import encoding_of
-from ..sources.sharding import parallel_split_offsets
+from ..sources.sharding import split_files
 from ..sources.storage import files_of, local_path, open_bytes, size_of
 
-#: Plain files beyond this are split by a Spark job rather than by one pass on the driver.
-SPLIT_BY_JOB = 1 << 30
+#: Plain files of more than one shard are split by a Spark job; local ones that are this large together at most, by a pass on the driver.
+SPLIT_BY_DRIVER = 256 << 20
 #: Up to so many files the driver looks at their first bytes itself.
 FEW_FILES = 256
 #: Up to so many values are searched for in a line before it is cut.
@@ -91,8 +91,12 @@ def source(spark: SparkSession, path: str, o: Options, needed: list[int] | None
     if o.where is not None and (pushed := filter_json(o.where)) is not None:
         r = r.option("where", json.dumps(pushed))
     plain = o.compression is None and o.delimiter != "auto" and not o.strict and o.fixed_columns is None and o.worker_count == 1
-    if plain and (large := {p: n for p in files_of(path) if local_path(p) is not None and (n := size_of(p)) > SPLIT_BY_JOB}):
-        r = r.option("offsets", json.dumps({p: parallel_split_offsets(spark, p, -(-n // datasource.SHARD_BYTES), o.delimiter) for p, n in large.items()}))
+    if plain:
+        large = {p: n for p in files_of(path) if (n := size_of(p)) > datasource.SHARD_BYTES}
+        if sum(large.values()) <= SPLIT_BY_DRIVER:
+            large = {p: n for p, n in large.items() if local_path(p) is None}
+        if large:
+            r = r.option("offsets", json.dumps(split_files(spark, large, datasource.SHARD_BYTES, o.delimiter)))
     return r.load(path)
 
 

@@ -49,5 +49,5 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def first_records(df: DataFrame, n: int) -> DataFrame:
-    """The first n records in file order; a top-n by position, never a whole sort."""
+    """The first n records of any scan in file order; a top-n by position, never a whole sort, but the whole input is read."""
     return df.orderBy("_file", "_shard", "_pos").limit(n)

@@ -17,7 +17,7 @@ from ..sources.sharding import safe_shards, safe_split_offsets
 from .errors import DelimitedError
 from .options import Options, options, parallel, refuse
 
-__all__ = ["Filter", "Pool", "Regex", "all_", "any_", "batches", "column", "columnar_batches", "count", "count_file", "for_each_row_view", "header_objects", "map_batches", "map_row_views", "not_", "parallel_count", "parallel_rows", "parse", "parse_file", "parse_projected", "regex", "row_views", "rows", "safe_shards", "safe_split_offsets", "worker_pool"]
+__all__ = ["Filter", "Pool", "Regex", "all_", "any_", "batches", "column", "columnar_batches", "count", "count_file", "first_rows", "for_each_row_view", "header_objects", "map_batches", "map_row_views", "not_", "parallel_count", "parallel_rows", "parse", "parse_file", "parse_projected", "regex", "row_views", "rows", "safe_shards", "safe_split_offsets", "worker_pool"]
 
 
 def _no_filtered_strict(o: Options) -> None:
@@ -73,6 +73,16 @@ def rows(spark: SparkSession, path: str, given: Options | None = None, /, **more
     return _scan.scan(spark, path, o)
 
 
+def first_rows(spark: SparkSession, path: str, n: int, given: Options | None = None, /, **more) -> DataFrame:
+    """The first n records that pass, in file order.  Shards are read in order, a few at a time, until there are n; what comes after isn't read."""
+    from dataclasses import replace
+
+    o = replace(options(given, **more), worker_count=1)
+    _no_filtered_strict(o)
+    df = _scan.project(_scan.keep(_scan.source(spark, path, o, None if o.strict else _scan.looked_at(o)), o.where), o.columns)
+    return spark.createDataFrame(df.limit(n).collect(), df.schema)  # limits take partitions in the source's order
+
+
 def parallel_rows(spark: SparkSession, path: str, given: Options | None = None, /, **more) -> DataFrame:
     o = options(given, **more)
     if o.worker_count < 2:
@@ -205,12 +215,14 @@ def header_objects(spark: SparkSession, path: str, given: Options | None = None,
     from pyspark.sql import functions as F
 
     df = rows(spark, path, given, **more)
-    first = df.orderBy("_file", "_shard", "_pos").select("_file", "_shard", "_pos", "fields").first()
+    first = first_rows(spark, path, 1, given, **more).first()
     if first is None:
         return spark.createDataFrame([], "_pos long")
     names = first["fields"] if header else [f"_col.{i + 1}" for i in range(len(first["fields"]))]
-    if header:
-        df = df.where(~((F.col("_file") == first["_file"]) & (F.col("_shard") == first["_shard"]) & (F.col("_pos") == first["_pos"])))
+    if header:  # of the same file only the first task's first record
+        name = first["_file"].rsplit("/", 1)[-1]
+        own = df.where(F.endswith("_file", F.lit(f"/{name}"))).agg(F.min(F.struct("_file", "_shard", "_pos")).alias("m")).first()["m"]
+        df = df.where(~((F.col("_file") == own["_file"]) & (F.col("_shard") == own["_shard"]) & (F.col("_pos") == own["_pos"])))
     return df.select(*[F.coalesce(_scan.field(i), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 

@@ -463,8 +463,7 @@ def lines_ndjson(spark, sf_dir):
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS a, n_name AS b FROM nation ORDER BY n_nationkey LIMIT 7")
 def lines_limit(spark, sf_dir):
-    df = api.rows(spark, text_of(spark, sf_dir, "nation", ("n_nationkey", "n_name"), files=1))
-    return S.named(sinks.first_records(df, 7), ["a", "b"])
+    return S.named(api.first_rows(spark, text_of(spark, sf_dir, "nation", ("n_nationkey", "n_name"), files=1), 7), ["a", "b"])
 
 
 # -- batches and measures -----------------------------------------------------------------------

@@ -209,7 +209,7 @@ class Reader(DataSourceReader):
         per = int(self.o.get("shardbytes", SHARD_BYTES))
         for path in files_of(self.o["path"]):
             delimiter = resolve_delimiter(path, self.o.get("delimiter", ","), self.compression)
-            if self.whole() or local_path(path) is None:
+            if self.whole() or local_path(path) is None and path not in self.known:
                 out.append(Shard(path, 0, None, delimiter))
                 continue
             n = asked or max(1, -(-size_of(path) // per))

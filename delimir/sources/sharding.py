@@ -155,27 +155,59 @@ def offsets_from_blocks(starts: list[int], scans: list[list[tuple[int, int]]], s
     return [*out, size] if size else [0]
 
 
-def parallel_split_offsets(spark, path: str, count: int, delimiter: str = ",") -> list[int]:
-    """``safe_split_offsets`` by a Spark job: each task scans one block of a mounted file for all states."""
-    import json
-
+def split_files(spark, sizes: dict[str, int], per: int, delimiter: str = ",", tasks: int = 10_000) -> dict[str, list[int]]:
+    """Shard offsets of many files by one Spark job, in stores too: blocks of about ``per`` bytes are scanned for all
+    states in tasks, a file's scans are put together in a task, and only the offsets reach the driver."""
     import pyarrow as pa
 
-    size = size_of(path)
-    starts = sorted({size * i // count for i in range(count)}) if size else []
-    blocks = spark.createDataFrame(list(zip(starts, [*starts[1:], size], strict=True)) or [(0, 0)], "a long, b long").repartition(max(1, len(starts)))
+    delimiter_of(delimiter)
+    blocks = []
+    for path, size in sizes.items():
+        if not size:
+            continue
+        n = max(1, -(-size // per))
+        cut = sorted({size * i // n for i in range(n)})
+        blocks += [(path, a, b) for a, b in zip(cut, [*cut[1:], size], strict=True)]
+    out = {path: [0] for path, size in sizes.items() if not size}
+    if not blocks:
+        return out
 
-    def run(batches):
+    def scanned(batches):
         from .storage import open_bytes
 
         scanner = BlockScanner(delimiter)
         for batch in batches:
-            out = []
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = []
+            for path, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with open_bytes(path) as f:
                     f.seek(a)
-                    out.append(json.dumps(scanner.scan(f.read(b - a))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["a", "scan"])
+                    found.append([x for pair in scanner.scan(f.read(b - a)) for x in pair])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["path", "a", "b", "scan"])
+
+    def joined(batches):
+        now, starts, scans, size = None, [], [], 0
 
-    found = sorted(blocks.mapInArrow(run, "a long, scan string").collect())  # six small pairs a block
-    return offsets_from_blocks(starts, [json.loads(r.scan) for r in found][: len(starts)], size)
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([offsets_from_blocks(starts, scans, size)], pa.list_(pa.int64()))], names=["path", "offsets"])
+
+        for batch in batches:
+            for path, a, b, scan in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != now:
+                    if now is not None:
+                        yield done()
+                    now, starts, scans = path, [], []
+                starts.append(a)
+                scans.append(list(zip(scan[::2], scan[1::2], strict=True)))
+                size = b
+        if now is not None:
+            yield done()
+
+    rows = spark.createDataFrame(blocks, "path string, a long, b long").repartition(min(tasks, len(blocks)))
+    by_file = rows.mapInArrow(scanned, "path string, a long, b long, scan array<long>").repartition("path").sortWithinPartitions("path", "a")
+    return out | {r.path: r.offsets for r in by_file.mapInArrow(joined, "path string, offsets array<long>").collect()}
+
+
+def parallel_split_offsets(spark, path: str, count: int, delimiter: str = ",") -> list[int]:
+    """``safe_split_offsets`` of one file by a Spark job."""
+    size = size_of(path)
+    return split_files(spark, {path: size}, max(1, -(-size // count)), delimiter)[path]

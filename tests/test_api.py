@@ -70,7 +70,7 @@ def test_strict_errors_end_the_job(spark, tmp_path):
 def test_large_files_are_split_by_a_job(spark, tmp_path, monkeypatch):
     f = tmp_path / "x.csv"
     f.write_text("".join(f'{i},"a\n""b",c\n' for i in range(500)))
-    monkeypatch.setattr(S, "SPLIT_BY_JOB", 1000)
+    monkeypatch.setattr(S, "SPLIT_BY_DRIVER", 1000)
     monkeypatch.setattr(S.datasource, "SHARD_BYTES", 900)
     df = S.source(spark, str(f), options())
     assert df.rdd.getNumPartitions() > 3

@@ -139,3 +139,35 @@ def test_lines_are_searched_before_they_are_cut(spark, tmp_path):
         quick, exact = (sorted(r[0] for r in scan(spark, path, options(where=f, columns=(1,), quotes=q)).select("fields").collect()) for q in (False, True))
         assert quick == exact
         assert api.count(spark, path, where=f, quotes=False) == api.count(spark, path, where=f, quotes=True) == len(exact)
+
+
+def test_many_files_are_split_by_one_job(spark, tmp_path, monkeypatch):
+    from delimir.operators import scan as S
+    from delimir.sources import datasource
+    from delimir.sources.sharding import safe_split_offsets, split_files
+
+    text = "".join(f'{k},"a""b\n{k}",x\r\n' if k % 7 else f"{k},plain,y\n" for k in range(900))
+    for name, data in (("a.csv", text), ("b.csv", text * 3), ("c.csv", ""), ("d.csv", 'q,"' + "z\n" * 5000 + '",w\n' + text)):
+        (tmp_path / name).write_bytes(data.encode())
+    files = sorted(f"file://{p}" for p in tmp_path.iterdir())
+    sizes = {f: (tmp_path / f.rsplit("/", 1)[1]).stat().st_size for f in files}
+    got = split_files(spark, sizes, 2000)
+    for f in files:
+        data = (tmp_path / f.rsplit("/", 1)[1]).read_bytes()
+        assert got[f][0] == 0 and got[f][-1] == len(data)
+        ends = set(safe_split_offsets(f, max(1, len(data) // 3)))
+        assert all(x in ends or data[x - 1 : x] == b"\n" for x in got[f][1:-1])
+    want = sorted(tuple(r[0]) for r in scan(spark, f"file://{tmp_path}", options(quotes=True)).select("fields").collect())
+    # as in a store: no pass on the driver, shards by the job all the same
+    monkeypatch.setattr(datasource, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(S, "SPLIT_BY_DRIVER", 0)
+    df = scan(spark, f"file://{tmp_path}", options(quotes=True))
+    assert df.rdd.getNumPartitions() > 20
+    assert sorted(tuple(r[0]) for r in df.select("fields").collect()) == want
+
+
+def test_first_rows_stop_early(spark, tmp_path):
+    for k in range(6):
+        (tmp_path / f"{k}.csv").write_text("".join(f"{k},{i}\n" for i in range(50)))
+    got = [r[0] for r in api.first_rows(spark, f"file://{tmp_path}", 53, where=not_(column(1).equals("1"))).select("fields").collect()]
+    assert got == ([["0", str(i)] for i in range(50)] + [["1", str(i)] for i in range(50)] + [["2", "0"]])[:1] + [["0", str(i)] for i in range(2, 50)] + [["1", "0"], ["1", "2"], ["1", "3"], ["1", "4"]]
