@@ -133,7 +133,7 @@ def summed(parts: list[list[np.ndarray]], keys: int = 1) -> list[np.ndarray]:
     by = [c[order] for c in cols[:keys]]
     new = np.logical_or.reduce([k[1:] != k[:-1] for k in by])
     first = np.flatnonzero(np.concatenate([[True], new])) if len(order) else np.zeros(0, np.int64)
-    return [*(k[first] for k in by), *(np.add.reduceat(v[order], first) if len(first) else v for v in cols[keys:])]
+    return [*(k[first] for k in by), *(np.add.reduceat(v[order], first, dtype=np.uint64) if len(first) else v.astype(np.uint64) for v in cols[keys:])]
 
 
 # -- tokens -------------------------------------------------------------------------------------
@@ -415,6 +415,7 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
 
         def out():
             shard, key, n = summed(held, keys=2)
+            held.clear()
             got = [(s, squeeze(key[r], n[r])) for s, r in runs(shard, np.arange(len(shard)))]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in got], pa.int64()), pa.array([x for _, x in got], pa.binary())], names=["shard", "blob"])
 
@@ -425,7 +426,7 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
                 y, z = framed(index, counts, len(w))  # numbers within this slice
                 both, n = np.unique(y * len(ids) + z, return_counts=True)
                 shard, key = m.pair_keys(ids[both // len(ids)], ids[both % len(ids)])
-                held.append([shard, key, n.astype(np.uint64)])
+                held.append([shard.astype(np.int32), key, n.astype(np.uint32)])  # a slice has fewer tokens than that
                 size += len(key)
                 if size > held_pairs:
                     yield out()
@@ -444,10 +445,11 @@ def train(docs: DataFrame, text_col: str = "text", word_size: int = WORD_SHARD,
                 save(f"{path}/lk-{s}", key[large])
                 save(f"{path}/ln-{s}", n[large])
             t = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            one = np.ones(len(n), np.uint64)
-            y, z = (x.astype(np.uint64) for x in model.pair_ids(s, key))
-            first = summed([[y, *((n == k).astype(np.uint64) for k in (1, 2)), (n > 2).astype(np.uint64)]])
-            second = summed([[z, one]])
+            y, z = (x.view(np.uint64) for x in model.pair_ids(s, key))
+            del key
+            first = summed([[y, *((n == k).astype(np.uint8) for k in (1, 2)), (n > 2).astype(np.uint8)]])
+            second = summed([[z, np.ones(len(n), np.uint8)]])
+            del y, z, n
             sent = []
             for kind, cols in enumerate((first, second)):
                 at = np.searchsorted(bases, cols[0].astype(np.int64), side="right") - 1
