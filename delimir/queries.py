@@ -67,15 +67,10 @@ def text_of(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...
 
 def _packed(fields: DataFrame, path: str, delimiter: str, line_end: str, ending: str, pack: str | None, latin1: bool) -> None:
     """One file a partition, compressed or encoded as asked, written by the tasks."""
-    from .sources.storage import local_path
-
-    folder = local_path(path)
-    if folder is None:
-        raise ValueError("this form is written to a mounted shared folder only")
+    from .sources.storage import create_bytes, move
 
     def write(batches: Iterator):
         import io
-        import os
         import zipfile
 
         import pyarrow as pa
@@ -98,11 +93,11 @@ def _packed(fields: DataFrame, path: str, delimiter: str, line_end: str, ending:
             with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
                 z.writestr("data/rows.csv", raw)
             raw = out.getvalue()
-        os.makedirs(folder, exist_ok=True)
-        name = f"{folder}/part-{TaskContext.get().partitionId():05d}{ending}"
-        with open(f"{name}.tmp", "wb") as f:
+        name = f"{path}/part-{TaskContext.get().partitionId():05d}{ending}"
+        tmp = f"{path}/_part-{TaskContext.get().taskAttemptId()}"
+        with create_bytes(tmp) as f:
             f.write(raw)
-        os.replace(f"{name}.tmp", name)
+        move(tmp, name)  # an attempt's file is whole or not there
         yield pa.RecordBatch.from_arrays([pa.array([len(raw)])], names=["n"])
 
     fields.select(sinks.record_text(F.col("fields"), delimiter).alias("v")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
@@ -409,10 +404,10 @@ def _size(path: str) -> int:
 
 def _whole(spark: SparkSession, path: str, parts: list[str]) -> str:
     """One file made of a folder's parts, the header's first."""
-    from .sources.storage import local_path, open_bytes
+    from .sources.storage import create_bytes, open_bytes
 
-    target = f"{local_path(path)}-whole.csv"
-    with open(target, "wb") as out:
+    target = f"{path}-whole.csv"
+    with create_bytes(target) as out:
         for p in sorted(parts, key=lambda p: not open_bytes(p).read(9).startswith(b"c_custkey")):
             with open_bytes(p) as f:
                 while got := f.read(1 << 20):

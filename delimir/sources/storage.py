@@ -28,6 +28,26 @@ def open_bytes(path: str) -> io.IOBase:
     return fs.open_input_file(p)
 
 
+def create_bytes(path: str):
+    """A stream to a new file, for ``with``; folders on the way are made."""
+    local = local_path(path)
+    if local is not None:
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return open(local, "wb")
+    fs, p = _store(path)
+    fs.create_dir(os.path.dirname(p), recursive=True)
+    return fs.open_output_stream(p)
+
+
+def move(path: str, to: str) -> None:
+    local = local_path(path)
+    if local is not None:
+        os.replace(local, local_path(to))
+    else:
+        fs, p = _store(path)
+        fs.move(p, _store(to)[1])
+
+
 def size_of(path: str) -> int:
     local = local_path(path)
     if local is not None:
