@@ -158,10 +158,17 @@ def compression_from(options: dict):
     return codecs.normalize(json.loads(text) if text.startswith("{") else text)
 
 
-def resolve_delimiter(path: str, delimiter: str, compression) -> str:
+def resolve_delimiter(path: str, delimiter: str, compression, part: bool = False) -> str:
+    """The delimiter given, or the one the file's first rows show.  An empty ``part`` of a folder has nothing to cut, so any will do."""
     if delimiter != "auto":
         return grammar.delimiter_of(delimiter)
-    return detect_delimiter(codecs.open_chunks(path, compression), hint_of(path, compression))
+    chunks = codecs.open_chunks(path, compression)
+    if part:
+        first = next(filter(None, chunks), None)
+        if first is None:
+            return ","
+        chunks = chain([first], chunks)
+    return detect_delimiter(chunks, hint_of(path, compression))
 
 
 def batches(rows: Iterator[list[str]], path: str, shard: int, columns: list[int] | None, keep, fields: bool = True, pos: int = 0) -> Iterator[pa.RecordBatch]:
@@ -207,8 +214,10 @@ class Reader(DataSourceReader):
         out = []
         asked = int(self.o.get("shards", 0))
         per = int(self.o.get("shardbytes", SHARD_BYTES))
-        for path in files_of(self.o["path"]):
-            delimiter = resolve_delimiter(path, self.o.get("delimiter", ","), self.compression)
+        files = files_of(self.o["path"])
+        part = files != [local_path(self.o["path"]) or self.o["path"]]
+        for path in files:
+            delimiter = resolve_delimiter(path, self.o.get("delimiter", ","), self.compression, part)
             if self.whole() or local_path(path) is None and path not in self.known:
                 out.append(Shard(path, 0, None, delimiter))
                 continue
@@ -256,7 +265,7 @@ class StreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Shard]:
         c = self.inner.compression
-        return [Shard(p, 0, None, resolve_delimiter(p, self.o.get("delimiter", ","), c)) for p in files_of(self.o["path"]) if start["after"] < p <= end["after"]]
+        return [Shard(p, 0, None, resolve_delimiter(p, self.o.get("delimiter", ","), c, part=True)) for p in files_of(self.o["path"]) if start["after"] < p <= end["after"]]
 
     def read(self, partition: Shard) -> Iterator[pa.RecordBatch]:
         return self.inner.read(partition)

@@ -28,5 +28,29 @@ def test_query(spark, con, name):
     assert sorted(tuple(str(r[c]) for c in sorted(names)) for r in df.collect()) == want
 
 
+@pytest.mark.parametrize("rows", [150, 0])
+def test_auto_delimiter_with_empty_tasks(spark, tmp_path, rows):
+    """One row group over several tasks leaves the first without rows; Spark writes an empty file for it."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from delimir.queries import customer
+
+    table = pq.read_table(f"{SF}/customer.parquet")
+    assert table.num_rows == 150
+    pq.write_table(table.slice(0, rows), tmp_path / "customer.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        written = customer(spark, str(tmp_path), delimiter="~").removeprefix("file://")
+        assert 0 in [os.path.getsize(f"{written}/{x}") for x in os.listdir(written) if x.startswith("part-0")]
+        got = entry.queries()["auto_delimiter"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet')")
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(entry.oracle_sql()["auto_delimiter"]).fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["orderkey", "returnflag", "shipdate"]

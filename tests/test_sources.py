@@ -117,6 +117,41 @@ def test_delimiter_errors(data, message):
         detect_delimiter([data])
 
 
+def test_empty_parts_need_no_delimiter(spark, tmp_path):
+    folder, bare, packed = (tmp_path / x for x in ("in", "bare", "packed"))
+    for f in (folder, bare, packed):
+        f.mkdir()
+    (folder / "part-0").write_bytes(b"")
+    (folder / "part-1").write_bytes(b'1~"a~b"\n2~\n')
+    (folder / "part-2").write_bytes(b"3~c\n")
+    (bare / "part-0").write_bytes(b"")
+    (packed / "part-0.gz").write_bytes(gzip.compress(b""))
+    (packed / "part-1.gz").write_bytes(gzip.compress(b"1~a\n"))
+
+    def fields(path, **more):
+        return sorted(r[0] for r in api.rows(spark, str(path), delimiter="auto", **more).select("fields").collect())
+
+    assert fields(folder) == fields(f"file://{folder}") == [["1", "a~b"], ["2", ""], ["3", "c"]]
+    assert fields(folder, where=column(1).equals("c")) == [["3", "c"]]
+    assert api.count(spark, str(folder), delimiter="auto") == 3
+    assert fields(bare) == []
+    assert fields(packed, compression="gzip") == [["1", "a"]]
+    with pytest.raises(Exception, match="no complete rows"):  # one file by its name: as the reference
+        fields(folder / "part-0")
+
+
+def test_empty_files_of_a_stream(spark, tmp_path):
+    from delimir.streaming.follow import follow
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a").write_bytes(b"")
+    (folder / "b").write_bytes(b"1~x\n2~y\n")
+    q = follow(spark, str(folder), delimiter="auto").writeStream.format("memory").queryName("with_empty").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.fields for r in spark.table("with_empty").collect()) == [["1", "x"], ["2", "y"]]
+
+
 def test_columns_are_pruned_while_reading():
     from delimir.sources.datasource import block_batches, pruned
 
